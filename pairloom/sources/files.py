@@ -36,20 +36,25 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.Stru
     return spark.read.parquet(target)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines).  Bad lines are reported, not lost."""
+def parse_json(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad lines) of a column of JSON texts.  Bad lines are reported, not lost."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (spark.read.schema(wide).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    bad = F.col("_corrupt_record").isNotNull()
-    return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("_corrupt_record")
+    rows = df.where(F.trim(column) != "").select(F.from_json(
+        column, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    bad = F.col("r._corrupt_record")
+    return (rows.where(bad.isNull()).select(*[F.col(f"r.{n}").alias(n) for n in schema.names]),
+            rows.where(bad.isNotNull()).select(bad.alias("line")))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    return parse_json(spark.read.text(path), "value", schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def json_lines(df: DataFrame, *columns: str):
+def json_lines(*columns: str):
     """One JSON text per row with a fixed field order."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
