@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions import text as X
 from pairloom.operators import lines as L
+from pairloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` on all cores: a file of one row group is a single scan task."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def functions(spark: SparkSession, sf: str) -> DataFrame:
     body = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("\n{\n")), F.lit(". "), F.lit(";\n}\n"))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), body.alias("before"))
+    return texts(spark, sf).select(F.col("doc_id").alias("pair_id"), body.alias("before"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,8 +71,10 @@ def tokens(c: Column, pattern: str = TOKEN) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Non-empty runs of non-white-space characters."""
-    return F.regexp_extract_all(c, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    """Runs of non-white-space characters."""
+    bare = strip(c)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
+        F.split(bare, WS_CLASS + "+"))
 
 
 def cwe_ids(c: Column) -> Column:

@@ -12,39 +12,59 @@ The result is monotone in both positions but not always minimal.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
 
-_POINTS = T.ArrayType(T.IntegerType())
-
-
-@F.pandas_udf(_POINTS)
-def _longest_increasing(seqs: pd.Series) -> pd.Series:
-    """Indexes of a longest increasing subsequence; NULL in, NULL out."""
-    def one(seq):
-        if seq is None:
-            return None
-        tails, tail_at, back = [], [], []
-        for i, x in enumerate(seq):
-            k = bisect_left(tails, x)
-            back.append(tail_at[k - 1] if k else -1)
-            if k == len(tails):
-                tails.append(x)
-                tail_at.append(i)
-            else:
-                tails[k], tail_at[k] = x, i
-        out, i = [], tail_at[-1] if tail_at else -1
-        while i >= 0:
-            out.append(i)
-            i = back[i]
-        return out[::-1]
-    return seqs.map(one)
+_INTS = "array<int>"
+
+
+def longest_increasing(seq: Column) -> Column:
+    """Indexes of a longest increasing subsequence of an integer array.
+
+    Patience sorting: each value goes on the first pile whose top is not smaller
+    (found by bisection) and remembers its pile; one walk from the right then
+    picks a value per pile.
+    """
+    def pile(tops, x):
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            smaller = F.get(tops, mid) < x
+            return F.when(s["lo"] < s["hi"], F.struct(
+                F.when(smaller, mid + 1).otherwise(s["lo"]).alias("lo"),
+                F.when(smaller, s["hi"]).otherwise(mid).alias("hi"))).otherwise(s)
+        n = F.size(tops)
+        steps = F.sequence(F.lit(0), F.floor(F.log2(n + 1)).cast("int"))
+        found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve,
+                            lambda s: s["lo"])
+        return F.when((n == 0) | (F.get(tops, n - 1) < x), n).otherwise(found)
+
+    def place(acc, x):
+        return X.let(pile(acc["tops"], x), lambda k: F.struct(
+            F.concat(F.slice(acc["tops"], F.lit(1), k), F.array(x),
+                     F.slice(acc["tops"], k + 2, F.size(acc["tops"]))).alias("tops"),
+            F.concat(acc["piles"], F.array(k)).alias("piles")))
+
+    empty = F.array().cast(_INTS)
+    piles = F.aggregate(seq, F.struct(empty.alias("tops"), empty.alias("piles")), place,
+                        lambda acc: acc["piles"])
+
+    def pick(acc, v):
+        hit = (v["pile"] == acc["need"]) & (v["x"] < acc["below"])
+        return F.when(hit, F.struct(
+            (acc["need"] - 1).alias("need"), v["x"].alias("below"),
+            F.concat(F.array(v["i"]), acc["out"]).alias("out"))).otherwise(acc)
+
+    def walk(piles):
+        values = F.reverse(F.transform(piles, lambda k, i: F.struct(
+            k.alias("pile"), F.get(seq, i).alias("x"), i.alias("i"))))
+        start = F.struct(F.array_max(piles).alias("need"), F.lit(2**31 - 1).alias("below"),
+                         empty.alias("out"))
+        return F.aggregate(values, start, pick, lambda acc: acc["out"])
+
+    return X.let(piles, walk)
 
 
 def _key(mode: str):
@@ -76,29 +96,22 @@ def _anchors(merged: Column) -> Column:
 
 def anchored_pairs(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) -> DataFrame:
     """(pair_id, bl, al, anchors, moved): both line arrays, the kept anchors in
-    order, and the anchors given up because their order changed.
-
-    Anchors are found before the shuffle: a Python helper hides the partitioning
-    of its input from the planner, so it has to stand in front of it.  What moves
-    is the text plus two small integer arrays.
-    """
-    sides = (_side(F.col("before"), key, drop_blank, 0), _side(F.col("after"), key, drop_blank, 1))
-    found = (pairs.select("pair_id", "before", "after")
+    order, and the anchors given up because their order changed."""
+    lined = (pairs.select("pair_id", "before", "after").repartition("pair_id")
              .where(F.col("before").isNotNull() & F.col("after").isNotNull())
-             .withColumn("cand", X.let(F.sort_array(F.concat(*sides)), _anchors)))
+             .select("pair_id", _side(F.col("before"), key, drop_blank, 0).alias("bl"),
+                     _side(F.col("after"), key, drop_blank, 1).alias("al")))
+    found = lined.withColumn("cand", X.let(F.sort_array(F.concat("bl", "al")), _anchors))
     a = F.col("cand.a")
     crossing = F.exists(
         F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.coalesce(y < x, F.lit(False))),
         lambda x: x)
-    # Only pairs with a crossing send anything to the helper.
-    found = found.withColumn("_lis", _longest_increasing(F.when(crossing, a)))
-    kept = F.when(F.col("_lis").isNull(), F.col("cand")).otherwise(
-        F.transform("_lis", lambda i: F.get("cand", i)))
-    moved = F.when(F.col("_lis").isNull(), F.slice("cand", 1, 0)).otherwise(
-        F.array_except("cand", kept))
-    return (found.select("pair_id", "before", "after", kept.alias("anchors"), moved.alias("moved"))
-            .repartition("pair_id")
-            .select("pair_id", sides[0].alias("bl"), sides[1].alias("al"), "anchors", "moved"))
+    kept = F.when(crossing, F.transform(
+        X.let(a, longest_increasing), lambda i: F.get("cand", i))).otherwise(F.col("cand"))
+    found = found.withColumn("anchors", kept)
+    moved = F.when(F.size("anchors") == F.size("cand"), F.slice("cand", 1, 0)).otherwise(
+        F.array_except("cand", "anchors"))
+    return found.select("pair_id", "bl", "al", "anchors", moved.alias("moved"))
 
 
 def _segment_rows(starts: Column) -> Column:

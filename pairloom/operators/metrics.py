@@ -53,26 +53,29 @@ def tokens_13a(c: Column) -> Column:
     return X.words(c)
 
 
-def _grams(toks: Column, side: int) -> Column:
-    """All n-grams, n = 1..4, of one token array as (n, gram, h, r)."""
-    def of_n(n):
-        count = F.size(toks) - n + 1
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"),
-            F.lit(1 - side).alias("h"), F.lit(side).alias("r")))).otherwise(F.array())
-    return F.concat(*[of_n(n) for n in range(1, MAX_N + 1)])
-
-
 def ngram_stats(df: DataFrame, hyp: str, ref: str, tokenise=X.words,
                 row_id: str = "pair_id") -> DataFrame:
-    """(row_id, n, matched, hyp, ref): clipped n-gram counts of every row.
+    """(row_id, n, matched, hyp, ref): clipped n-gram counts of every row, n = 1..4.
 
-    Texts are partitioned by id before they are cut into n-grams, so the counts
-    need no further shuffle.
+    Texts are partitioned by id before they are cut up, so the counts need no
+    further shuffle.  N-grams come from zipping the token array with itself
+    shifted by 1..3, which stays in compiled code.
     """
-    toks = (df.select(row_id, F.col(hyp).alias("_h"), F.col(ref).alias("_r")).repartition(row_id)
-            .select(row_id, tokenise(F.col("_h")).alias("_h"), tokenise(F.col("_r")).alias("_r")))
-    return (toks.select(row_id, F.inline(F.concat(_grams(F.col("_h"), 0), _grams(F.col("_r"), 1))))
+    side = lambda c, h: F.struct(
+        F.lit(h).alias("h"), F.lit(1 - h).alias("r"), tokenise(F.col(c)).alias("t"))
+    sides = (df.select(row_id, F.col(hyp).alias("_h"), F.col(ref).alias("_r")).repartition(row_id)
+             .select(row_id, F.explode(F.array(side("_h", 1), side("_r", 0))).alias("s"))
+             .select(row_id, "s.*"))
+    shifted = F.arrays_zip(*[F.slice("t", k, F.size("t")).alias(f"t{k}") for k in range(1, MAX_N + 1)])
+    cells = []
+    for n in range(1, MAX_N + 1):
+        gram = [F.col("t1")]
+        for k in range(2, n + 1):
+            gram += [F.lit(" "), F.col(f"t{k}")]
+        cells += [F.lit(n), F.concat(*gram)]
+    return (sides.select(row_id, "h", "r", F.inline(shifted).alias(*[f"t{k}" for k in range(1, MAX_N + 1)]))
+            .select(row_id, "h", "r", F.stack(F.lit(MAX_N), *cells).alias("n", "gram"))
+            .where(F.col("gram").isNotNull())
             .groupBy(row_id, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
             .groupBy(row_id, "n").agg(
                 F.sum(F.least("h", "r")).alias("matched"),

@@ -76,7 +76,8 @@ def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None
     ids = df.select(row_id).join(ids, row_id, "left").withColumn(
         "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
     size = F.size("_ids")
-    width = F.lit(length) if length is not None else ids.agg(F.max(size)).scalar()
+    width = F.lit(length) if length is not None else df.agg(
+        F.coalesce(F.max(token_count(F.col(text))), F.lit(0))).scalar()
     padded = F.concat("_ids", F.array_repeat(F.lit(pad), width - size))
     mask = F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), width - size))
     return ids.select(row_id, padded.alias("input_ids"), mask.alias("attention_mask"),
