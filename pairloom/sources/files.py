@@ -14,6 +14,10 @@ CSV = {
     "nullValue": "", "emptyValue": '""', "encoding": "UTF-8",
 }
 
+# On reading, a bare empty field is NULL and a quoted one is ''.  The mark for the
+# bare field must differ from '' and cannot occur in text.
+_CSV_READ = {"nullValue": "\x00", "emptyValue": ""}
+
 
 def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
     """``index`` names a key column to put first; None writes the columns as they are."""
@@ -25,7 +29,7 @@ def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read quoted CSV.  Files with line breaks inside quotes do not split, so a
     large one belongs into Parquet once (``csv_to_parquet``)."""
-    return spark.read.schema(schema).options(**{**CSV, "emptyValue": ""}).csv(path)
+    return spark.read.schema(schema).options(**{**CSV, **_CSV_READ}).csv(path)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType,
