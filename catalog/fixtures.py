@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions import text as X
 from pairloom.operators import lines as L
-from pairloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,8 +17,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``documents`` on all cores: a file of one row group is a single scan task."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    """``documents``, spread over the cores if the scan has fewer splits than that.
+
+    A small file of one row group is a single scan task.  A large table has many
+    splits and is used as it is.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    few = docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    return docs.repartition("doc_id") if few else docs
 
 
 def functions(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,7 +62,7 @@ def train_test_build(spark, sf):
     rows = X.pairs(spark, sf).join(table(spark, sf, "labels").select(
         F.col("doc_id").alias("pair_id"), F.lit("test").alias("split")), "pair_id", "left")
     long_rows = rows.where(F.char_length("before") > 6000)
-    build = lambda part, dd: datasets.build_records(part, long_rows, dedup_rows=dd, unique_before=False)
+    build = lambda part, dd: datasets.build_records(part, long_rows, dedup_rows=dd)
     train = build(rows.where(F.col("split").isNull()), True).withColumn("split", F.lit("train"))
     test = build(rows.where(F.col("split") == "test"), False).withColumn("split", F.lit("test"))
     return train.unionByName(test)
@@ -195,7 +195,12 @@ def _train_test_sql() -> str:
     return sql("select r.pair_id, inputs, outputs, split from records r join stay s on r.pair_id = s.pair_id",
                "pairs", stay=stay, fb=_folded("select pair_id, before from stay", "before"),
                fa=_folded("select pair_id, after from stay", "after"),
-               ready="""select fb.pair_id, fb.txt before, fa.txt after from fb join fa on fb.pair_id = fa.pair_id""",
+               fl=f"""select pair_id, generate_subscripts(string_split(txt, {NL}), 1) i,
+                      unnest(string_split(txt, {NL})) x from fb""",
+               ub=f"""select pair_id, string_agg(x || repeat(' ', cast(n - 1 as int)), {NL} order by i) txt from (
+                      select *, row_number() over (partition by pair_id, trim(x, {WS}) order by i) n from fl)
+                      group by pair_id""",
+               ready="""select ub.pair_id, ub.txt before, fa.txt after from ub join fa on ub.pair_id = fa.pair_id""",
                **script_views("ready"))
 
 

@@ -37,7 +37,8 @@ def _line_order(row_id: str, score: str):
 def effort_at_recall(df: DataFrame, recall: float = 0.2, row_id: str = "pair_id",
                      score: str = "sc", truth: str = "y") -> DataFrame:
     """Share of all lines to read, best first, to find ``recall`` of the true ones."""
-    cut = cut_position(df, _line_order(row_id, score), {"hits": F.col(truth)},
+    cut = cut_position(df.select(row_id, "pos", score, truth), _line_order(row_id, score),
+                       {"hits": F.col(truth)},
                        "hits", F.lit(recall) * F.col("hits_all"))
     return cut.select((F.col("position") / F.col("n_all")).alias("effort"))
 
@@ -46,7 +47,7 @@ def recall_at_effort(df: DataFrame, effort: float = 0.01, row_id: str = "pair_id
                      score: str = "sc", truth: str = "y") -> DataFrame:
     """Share of the true lines among the first ``effort`` of all lines."""
     cut = cut_position(
-        df, _line_order(row_id, score), {"hits": F.col(truth), "lines": F.lit(1)},
+        df.select(row_id, "pos", score, truth), _line_order(row_id, score), {"hits": F.col(truth), "lines": F.lit(1)},
         "lines", F.floor(F.lit(effort) * F.col("lines_all")))
     return cut.select(F.coalesce(F.col("hits") / F.col("hits_all"), F.lit(0.0)).alias("recall"))
 
@@ -55,7 +56,7 @@ def recall_by_probability(df: DataFrame, share: float = 0.2, row_id: str = "id",
                           score: str = "sc", truth: str = "y") -> DataFrame:
     """Recall among the top ``share`` of functions by predicted probability."""
     cut = cut_position(
-        df, [F.desc(score), F.asc(row_id)], {"hits": F.col(truth), "rows": F.lit(1)},
+        df.select(row_id, score, truth), [F.desc(score), F.asc(row_id)], {"hits": F.col(truth), "rows": F.lit(1)},
         "rows", F.floor(F.lit(share) * F.col("rows_all")))
     return cut.select(F.coalesce(F.col("hits") / F.col("hits_all"), F.lit(0.0)).alias("recall"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
-from pairloom.operators.scale import ROWS_PER_SALT, global_running, salted_join
+from pairloom.operators.scale import ROWS_PER_SALT, global_running, number_rows, salted_join
 
 
 def split_prompt(df: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -51,7 +51,7 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, n, token_id): ids by falling count, then by token."""
     counts = (df.select(F.explode(X.tokens(F.col(text))).alias("token"))
               .groupBy("token").agg(F.count("*").alias("n")))
-    return global_running(counts, [F.desc("n"), F.asc("token")], {}, row_number="token_id")
+    return number_rows(counts, [F.desc("n"), F.asc("token")], "token_id")
 
 
 def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None = S.INPUT_TOKENS,
@@ -111,7 +111,7 @@ def split_balanced(df: DataFrame, target: str, row_id: str, ratios=(8, 1, 1)) ->
 
 def chunk_rows(df: DataFrame, order: list[str], slice_size: int) -> DataFrame:
     """Number the rows by a unique order and cut them into slices."""
-    numbered = global_running(df, [F.asc(c) for c in order], {}, row_number="row_number")
+    numbered = number_rows(df, [F.asc(c) for c in order], "row_number")
     return numbered.withColumn("chunk", F.floor((F.col("row_number") - 1) / slice_size))
 
 

@@ -69,6 +69,24 @@ def part_offsets(parts: DataFrame, sums: dict[str, Column], by: Sequence[str] =
     return totals
 
 
+def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add a dense 1-based row number over the whole table, for a unique order.
+
+    One range shuffle: each part is sorted and numbered while it is written, and
+    the parts' offsets (one row per part) are added on reading.
+    """
+    numbered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+                .withColumn("_id", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftrightunsigned("_id", 33).cast("int"))
+                .withColumn("_idx", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+                .drop("_id"))
+    parts = durable(numbered)
+    offsets = part_offsets(parts, {}).select("_part", "n_before")
+    return (parts.join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_idx") + F.col("n_before") + 1)
+            .drop("_part", "_idx", "n_before"))
+
+
 def global_running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
                    by: Sequence[str] = (), row_number: str | None = None) -> DataFrame:
     """Running totals (current row included) over the whole table, in two levels.
@@ -82,7 +100,9 @@ def global_running(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
         "_part", *by, "n_before", *[f"{name}_before" for name in sums])
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = parts.join(F.broadcast(offsets), ["_part", *by])
+    # Without classes there is one offset row per part; with them the planner
+    # picks the join by measured size.
+    out = parts.join(offsets if by else F.broadcast(offsets), ["_part", *by])
     for name, c in sums.items():
         out = out.withColumn(f"_run_{name}", F.sum(c).over(inside) + F.col(f"{name}_before"))
     if row_number:

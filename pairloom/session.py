@@ -42,12 +42,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input that arrives in fewer splits than cores.
-
-    A large input has many splits and is returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

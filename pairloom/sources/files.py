@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pairloom.functions import text as X
-from pairloom.operators.scale import global_running
+from pairloom.operators.scale import number_rows
 
 # Quoted multi-line text; '' and NULL stay apart; no trimming on either side.
 CSV = {
@@ -84,7 +84,7 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "pair_id"
 
 def assign_row_id(df: DataFrame, order: list[str], name: str = "pair_id") -> DataFrame:
     """Dense 0-based ids by a unique order.  Given once, at ingest, and kept."""
-    out = global_running(df, [F.asc(c) for c in order], {}, row_number=name)
+    out = number_rows(df, [F.asc(c) for c in order], name)
     return out.withColumn(name, F.col(name) - 1)
 
 

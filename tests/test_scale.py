@@ -69,6 +69,10 @@ def test_global_running(spark, parts):
         for want, r in zip(sorted(rows, key=lambda x: (-x[1], x[0])), sorted(got, key=lambda r: r.rn)):
             total += want[1]
             assert (r.id, r.run) == (want[0], total)
+        numbered = scale.number_rows(df.repartition(5), order, "rn").collect()
+        assert [r.id for r in sorted(numbered, key=lambda r: r.rn)] == \
+            [r[0] for r in sorted(rows, key=lambda x: (-x[1], x[0]))]
+        assert sorted(r.rn for r in numbered) == list(range(1, 501))
         per = scale.global_running(df, [F.asc("c"), *order], {}, by=["c"], row_number="rn").collect()
         for c in "ab":
             mine = sorted((r.rn, -r.v, r.id) for r in per if r.c == c)
