@@ -79,12 +79,3 @@ def words(c: Column) -> Column:
 
 def cwe_ids(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"CWE-[0-9]+"), F.lit(0))
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``.
-
-    Without the binding an expression that is referenced inside a lambda would be
-    worked out again for every array element.
-    """
-    return F.transform(F.array(value), body)[0]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
+from pairloom.functions.arrays import let, places
 
 _INTS = "array<int>"
 
@@ -100,17 +101,22 @@ def with_steps(df: DataFrame) -> DataFrame:
             .withColumn("_locs", F.transform(X.lines(F.col("locations")), X.lstrip))
             .withColumn("_changes", F.transform(
                 F.filter("_parsed", lambda p: ~p["is_insert"]), lambda p: p["line"]))
-            .withColumn("_inserts", _inserts(F.col("_keys"), F.col("_parsed")))
-            .withColumn("_at", matched_lines(
-                F.col("_keys"), F.col("_locs"), F.least(F.size("_locs"), F.size("_changes")))))
+            .withColumn("_inserts", let(
+                F.col("_keys"), lambda keys: _inserts(keys, F.col("_parsed"))))
+            .withColumn("_at", let(F.col("_locs"), lambda locs: matched_lines(
+                F.col("_keys"), locs, F.least(F.size(locs), F.size("_changes"))))))
 
 
 def replaced_lines() -> Column:
     """Lines after the replacements, still one array entry per source line."""
-    def change(line, i):
-        j = F.array_position("_at", i).cast("int")
-        return F.when(j > 0, replaced_line(line, F.get("_changes", j - 1))).otherwise(line)
-    return F.transform("_lines", change)
+    def merge(given):
+        def change(line, i):
+            j = F.get(given["place"], i)
+            return F.when(j > 0, replaced_line(line, F.get(given["changes"], j - 1))).otherwise(line)
+        return F.transform("_lines", change)
+    place = places(F.size("_lines"), F.col("_at"))
+    return F.when(F.size("_at") == 0, F.col("_lines")).otherwise(
+        let(F.struct(place.alias("place"), F.col("_changes").alias("changes")), merge))
 
 
 def with_inserts(lines: Column, inserts: Column) -> Column:

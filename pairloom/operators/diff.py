@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
+from pairloom.functions.arrays import let, places
 
 _INTS = "array<int>"
 
@@ -42,7 +43,7 @@ def longest_increasing(seq: Column) -> Column:
         return F.when((n == 0) | (F.get(tops, n - 1) < x), n).otherwise(found)
 
     def place(acc, x):
-        return X.let(pile(acc["tops"], x), lambda k: F.struct(
+        return let(pile(acc["tops"], x), lambda k: F.struct(
             F.concat(F.slice(acc["tops"], F.lit(1), k), F.array(x),
                      F.slice(acc["tops"], k + 2, F.size(acc["tops"]))).alias("tops"),
             F.concat(acc["piles"], F.array(k)).alias("piles")))
@@ -64,7 +65,7 @@ def longest_increasing(seq: Column) -> Column:
                          empty.alias("out"))
         return F.aggregate(values, start, pick, lambda acc: acc["out"])
 
-    return X.let(piles, walk)
+    return let(piles, walk)
 
 
 def _key(mode: str):
@@ -101,17 +102,18 @@ def anchored_pairs(pairs: DataFrame, key: str = "exact", drop_blank: bool = Fals
              .where(F.col("before").isNotNull() & F.col("after").isNotNull())
              .select("pair_id", _side(F.col("before"), key, drop_blank, 0).alias("bl"),
                      _side(F.col("after"), key, drop_blank, 1).alias("al")))
-    found = lined.withColumn("cand", X.let(F.sort_array(F.concat("bl", "al")), _anchors))
+    found = lined.withColumn("cand", let(F.sort_array(F.concat("bl", "al")), _anchors))
     a = F.col("cand.a")
     crossing = F.exists(
         F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.coalesce(y < x, F.lit(False))),
         lambda x: x)
-    kept = F.when(crossing, F.transform(
-        X.let(a, longest_increasing), lambda i: F.get("cand", i))).otherwise(F.col("cand"))
-    found = found.withColumn("anchors", kept)
-    moved = F.when(F.size("anchors") == F.size("cand"), F.slice("cand", 1, 0)).otherwise(
-        F.array_except("cand", "anchors"))
-    return found.select("pair_id", "bl", "al", "anchors", moved.alias("moved"))
+    every = F.sequence(F.lit(0), F.size("cand") - 1)
+    found = found.withColumn("_in", F.when(crossing, let(a, longest_increasing)))
+    pick = lambda at: let(F.col("cand"), lambda cand: F.transform(at, lambda i: F.get(cand, i)))
+    kept = F.when(F.col("_in").isNull(), F.col("cand")).otherwise(pick(F.col("_in")))
+    moved = F.when(F.col("_in").isNull(), F.slice("cand", 1, 0)).otherwise(
+        pick(F.array_except(every, "_in")))
+    return found.select("pair_id", "bl", "al", kept.alias("anchors"), moved.alias("moved"))
 
 
 def _segment_rows(starts: Column) -> Column:
@@ -120,7 +122,7 @@ def _segment_rows(starts: Column) -> Column:
     Segment i runs from anchor i (a fixed row) to anchor i + 1; segment 0 opens
     at the head of both texts.
     """
-    bl, al, moved = F.col("bl"), F.col("al"), F.col("moved")
+    bl, al = F.col("bl"), F.col("al")
     none = F.lit(None).cast("int")
 
     def row(seg, fixed, bpos, apos, r, was_moved):
@@ -128,19 +130,23 @@ def _segment_rows(starts: Column) -> Column:
                         apos.alias("apos"), r["key"].alias("key"), r["line"].alias("line"),
                         was_moved.alias("moved"))
 
-    def segment(s, i):
+    def segment(s, i, moved):
         e = F.get(starts, i + 1)
         end_b = F.coalesce(e["b"], F.size(bl))
         end_a = F.coalesce(e["a"], F.size(al))
         opening = F.when(s["b"] >= 0, F.array(
             row(i, True, s["b"], s["a"], F.get(bl, s["b"]), F.lit(False)))).otherwise(F.array())
         out = F.transform(F.slice(bl, s["b"] + 2, end_b - s["b"] - 1), lambda r: row(
-            i, False, r["pos"], none, r, F.exists(moved, lambda m: m["b"] == r["pos"])))
+            i, False, r["pos"], none, r, F.coalesce(F.get(moved["b"], r["pos"]) > 0, F.lit(False))))
         new = F.transform(F.slice(al, s["a"] + 2, end_a - s["a"] - 1), lambda r: row(
-            i, False, none, r["pos"], r, F.exists(moved, lambda m: m["a"] == r["pos"])))
+            i, False, none, r["pos"], r, F.coalesce(F.get(moved["a"], r["pos"]) > 0, F.lit(False))))
         return F.concat(opening, out, new)
 
-    return F.flatten(F.transform(starts, segment))
+    any_moved = F.size("moved") > 0
+    moved = F.struct(F.when(any_moved, places(F.size(bl), F.col("moved.b"))).alias("b"),
+                     F.when(any_moved, places(F.size(al), F.col("moved.a"))).alias("a"))
+    return let(moved, lambda m: F.flatten(
+        F.transform(starts, lambda s, i: segment(s, i, m))))
 
 
 def line_diff(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) -> DataFrame:
@@ -154,7 +160,7 @@ def line_diff(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) ->
     head = F.array(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("a")))
     rows = (anchored_pairs(pairs, key, drop_blank)
             .select("pair_id", F.explode(
-                X.let(F.concat(head, "anchors"), _segment_rows)).alias("r"))
+                let(F.concat(head, "anchors"), _segment_rows)).alias("r"))
             .select("pair_id", "r.*"))
 
     copy = Window.partitionBy("pair_id", "seg", "key", "fixed", F.col("bpos").isNull()) \

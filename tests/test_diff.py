@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.functions import text as X
+from pairloom.functions.arrays import let, places
 from pairloom.operators import diff as D
 from pairloom.plans import datasets
 
@@ -84,7 +84,7 @@ def test_longest_increasing_against_brute_force(spark, n):
     rng = random.Random(n)
     perms += [tuple(rng.sample(range(100), 40)) for _ in range(5)]
     df = spark.createDataFrame([(list(p),) for p in perms], "s array<int>")
-    rows = df.select("s", X.let(F.col("s"), D.longest_increasing).alias("at")).collect()
+    rows = df.select("s", let(F.col("s"), D.longest_increasing).alias("at")).collect()
     for r in rows:
         picked = [r.s[i] for i in r.at]
         assert picked == sorted(picked) and r.at == sorted(r.at)
@@ -159,3 +159,9 @@ def test_one_exchange_for_the_whole_script(spark, pair_table, tmp_path):
     plan = D.edit_script(D.edits_of(spark.read.parquet(str(tmp_path / "p")))) \
         ._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Python" not in plan
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(4, [2, 0]), (0, []), (2, [])], "n int, at array<int>")
+    got = [r[0] for r in df.select(places(F.col("n"), F.col("at"))).collect()]
+    assert got == [[2, 0, 1, 0], None, [0, 0]]
