@@ -133,7 +133,8 @@ ORACLES = {
     "location_targets": script_sql(
         """select pair_id, case when n_gone < 15 and n_new < 15 then lines_with_vul end lines_with_vul,
             case when n_gone < 15 and n_new < 15 then lines_after_fix end lines_after_fix from targets"""),
-    "injection_records": script_sql("select pair_id, inputs, outputs from records"),
+    "injection_records": script_sql(
+        "select r.pair_id, before, after, inputs, outputs from records r join pairs p on r.pair_id = p.pair_id"),
     "edit_stats": script_sql(
         """select count(*) pairs, count(*) filter (where not (n_gone < 15 and n_new < 15)) oversize,
             count(*) filter (where n_gone < 15 and n_new < 15) kept,

@@ -11,6 +11,7 @@ from pairloom.functions import text as C
 from pairloom.functions import wire
 from pairloom.operators import apply as A
 from pairloom.operators import records as R
+from pairloom.operators.ranking import longest_first
 from pairloom.plans import datasets
 
 
@@ -63,8 +64,8 @@ def train_test_build(spark, sf):
         F.col("doc_id").alias("pair_id"), F.lit("test").alias("split")), "pair_id", "left")
     long_rows = rows.where(F.char_length("before") > 6000)
     build = lambda part, dd: datasets.build_records(part, long_rows, dedup_rows=dd)
-    train = build(rows.where(F.col("split").isNull()), True).withColumn("split", F.lit("train"))
-    test = build(rows.where(F.col("split") == "test"), False).withColumn("split", F.lit("test"))
+    train = build(rows.where(F.col("split").isNull()), True).withColumn("split", F.lit("train")).drop("before", "after")
+    test = build(rows.where(F.col("split") == "test"), False).withColumn("split", F.lit("test")).drop("before", "after")
     return train.unionByName(test)
 
 
@@ -132,7 +133,7 @@ def apply_status(spark, sf):
 QUERIES = {
     "build_prompt": _prompts,
     "split_prompt": lambda s, d: R.split_prompt(_prompts(s, d)).drop("prompt"),
-    "token_lengths": lambda s, d: _lengths(s, d).orderBy(F.desc("n_tokens"), "pair_id"),
+    "token_lengths": lambda s, d: longest_first(_lengths(s, d), "n_tokens"),
     "filter_max_tokens": filter_max_tokens,
     "oversize_rows": oversize_rows,
     "vocabulary": lambda s, d: R.vocabulary(X.functions(s, d), "before"),

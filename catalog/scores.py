@@ -69,9 +69,11 @@ def bow_forest(spark, sf):
     return learn.bow_scores(model, X.functions(spark, sf), "before", "pair_id")
 
 
-def _rule():
-    """Stands for a trained predictor: the longest line of the text."""
-    return lambda texts: [max(t.split("\n"), key=len) for t in texts]
+def batch_score(spark, sf):
+    """A rule stands for the trained predictor: the longest line of the text."""
+    def rule():
+        return lambda texts: [max(t.split("\n"), key=len) for t in texts]
+    return learn.batch_score(X.functions(spark, sf), "before", "pair_id", rule)
 
 
 def rank_lines(spark, sf):
@@ -105,7 +107,7 @@ QUERIES = {
     "compare_variants": lambda s, d: _rounded(compare_variants(s, d)),
     "bow_forest": bow_forest,
     "token_embeddings": lambda s, d: learn.token_embeddings(X.functions(s, d), "before", "pair_id"),
-    "batch_score": lambda s, d: learn.batch_score(X.functions(s, d), "before", "pair_id", _rule),
+    "batch_score": batch_score,
 }
 
 _CANON = f"""array_to_string(list_filter(list_transform(string_split(%s, {NL}),

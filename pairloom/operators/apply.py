@@ -127,7 +127,8 @@ def with_inserts(lines: Column, inserts: Column) -> Column:
     new = F.transform(inserts, lambda x: F.struct(
         x["at"].alias("at"), F.lit(1).alias("kind"), (-x["grp"]).alias("grp"),
         x["ord"].alias("ord"), x["line"].alias("line")))
-    return F.transform(F.sort_array(F.concat(own, new)), lambda r: r["line"])
+    merged = F.transform(F.sort_array(F.concat(own, new)), lambda r: r["line"])
+    return F.when(F.size(inserts) == 0, lines).otherwise(merged)
 
 
 def assemble_text(lines: Column) -> Column:

@@ -95,11 +95,20 @@ def _anchors(merged: Column) -> Column:
     return F.sort_array(F.filter(F.transform(merged, look), lambda r: r.isNotNull()))
 
 
+def complete_by_id(pairs: DataFrame) -> DataFrame:
+    """Pairs with both sides, hash-partitioned by id: the one shuffle of the texts.
+
+    A second use in the same job with all three columns reads the same exchange.
+    """
+    return (pairs.select("pair_id", "before", "after")
+            .where(F.col("before").isNotNull() & F.col("after").isNotNull())
+            .repartition("pair_id"))
+
+
 def anchored_pairs(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) -> DataFrame:
     """(pair_id, bl, al, anchors, moved): both line arrays, the kept anchors in
     order, and the anchors given up because their order changed."""
-    lined = (pairs.select("pair_id", "before", "after").repartition("pair_id")
-             .where(F.col("before").isNotNull() & F.col("after").isNotNull())
+    lined = (complete_by_id(pairs)
              .select("pair_id", _side(F.col("before"), key, drop_blank, 0).alias("bl"),
                      _side(F.col("after"), key, drop_blank, 1).alias("al")))
     found = lined.withColumn("cand", let(F.sort_array(F.concat("bl", "al")), _anchors))
@@ -301,11 +310,12 @@ def location_targets(scripts: DataFrame, max_lines: int | None = S.MAX_EDIT_LINE
 
 
 def injection_records(pairs: DataFrame, scripts: DataFrame) -> DataFrame:
-    """(pair_id, inputs, outputs) for every pair, also for those without an edit."""
+    """(pair_id, before, after, inputs, outputs) for every complete pair, also for
+    those without an edit."""
     locations = F.array_join(location_lines(F.col("script")), "\n")
     encoded = F.transform("script", lambda e: wire.encode_edit(e["kind"], e["key"], e["value"]))
-    return (pairs.select("pair_id", "before").join(scripts, "pair_id", "left")
-            .select("pair_id",
+    return (complete_by_id(pairs).join(scripts, "pair_id", "left")
+            .select("pair_id", "before", "after",
                     F.concat("before", F.lit(S.END_OF_FUNCTION), F.when(
                         F.coalesce(locations, F.lit("")) == "", F.lit(S.NO_LOCATIONS))
                         .otherwise(locations)).alias("inputs"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom import schema as S
 from pairloom.operators.scale import cut_position
+from pairloom.session import durable
 
 
 def rank_lines(df: DataFrame, row_id: str = "pair_id", score: str = "sc") -> DataFrame:
@@ -62,4 +63,9 @@ def recall_by_probability(df: DataFrame, share: float = 0.2, row_id: str = "id",
 
 
 def longest_first(df: DataFrame, size: str, row_id: str = "pair_id") -> DataFrame:
-    return df.orderBy(F.desc(size), F.asc(row_id))
+    """(row_id, size), largest first.
+
+    A global sort reads its input twice, once for the range bounds, so the sizes
+    are written down before: texts are measured once.
+    """
+    return durable(df.select(row_id, size)).orderBy(F.desc(size), F.asc(row_id))

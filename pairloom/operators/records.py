@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
+from pairloom.functions.arrays import let
 from pairloom.operators.scale import ROWS_PER_SALT, global_running, number_rows, salted_join
 
 
@@ -87,7 +88,7 @@ def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None
 def mask_label_padding(labels: Column, pad: int = 0) -> Column:
     """All entries behind the first pad become the ignored label."""
     first = F.array_position(labels, pad)
-    return X.let(first, lambda p: F.transform(labels, lambda x, i: F.when(
+    return let(first, lambda p: F.transform(labels, lambda x, i: F.when(
         (p > 0) & (i + 1 > p), S.IGNORED_LABEL).otherwise(x)))
 
 

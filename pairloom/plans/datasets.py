@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.operators import apply as A
 from pairloom.operators import dedup, diff, lines, metrics, tables
@@ -40,7 +41,7 @@ def dataset_table(pairs: DataFrame, max_lines: int | None = None) -> DataFrame:
 
 def build_records(pairs: DataFrame, excluded: DataFrame | None = None, dedup_rows: bool = True,
                   unique_before: bool = True) -> DataFrame:
-    """(pair_id, inputs, outputs) for one split: fill, exclude, dedup, diff, encode.
+    """(pair_id, before, after, inputs, outputs) for one split: fill, exclude, dedup, diff, encode.
 
     Train sets pass ``dedup_rows=True``, test sets False.
     """
@@ -74,12 +75,13 @@ def round_trip(pairs: DataFrame) -> DataFrame:
     before text.  A pair without an edit has nothing to apply and stays as it is."""
     ready = with_unique_before(pairs.select("pair_id", "before", "after"))
     records = diff.injection_records(ready, diff.edit_script(diff.edits_of(ready)))
-    cut = F.split_part("inputs", F.lit("<|endoftext|>\n"), F.lit(-1))
-    predictions = records.where(F.col("outputs") != "").select(
-        "pair_id", cut.alias("locations"), F.col("outputs").alias("injections"))
-    out = generate(ready, predictions)
-    unedited = F.col("locations").isNull()
-    out = out.withColumn("generated", F.when(unedited, F.col("before")).otherwise(F.col("generated")))
-    out = out.withColumn("status", F.when(unedited, A.S.STATUS_OK).otherwise(F.col("status")))
-    return out.select("pair_id", "generated", "status",
-                      metrics.canonical_match(F.col("generated"), F.col("after")).alias("same"))
+    edited = F.col("outputs") != ""
+    done = A.apply_edits(records.select(
+        "pair_id", "before", "after", edited.alias("edited"),
+        F.substring_index("inputs", S.END_OF_FUNCTION, -1).alias("locations"),
+        F.col("outputs").alias("injections")))
+    done = done.withColumns({
+        "generated": F.when(F.col("edited"), F.col("generated")).otherwise(F.col("before")),
+        "status": F.when(F.col("edited"), F.col("status")).otherwise(S.STATUS_OK)})
+    return done.select("pair_id", "generated", "status",
+                       metrics.canonical_match(F.col("generated"), F.col("after")).alias("same"))
