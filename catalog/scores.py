@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.fixtures import NL, WS, sql
+from pairloom.functions import text as C
 from pairloom.operators import learn, metrics as M, ranking as R, records
 
 _rounded = lambda df: df.select(*[
@@ -27,7 +28,7 @@ def strip_match(spark, sf):
 
 
 def _overlap(spark, sf):
-    return M.ngram_stats(X.pairs(spark, sf), "after", "before")
+    return M.ngram_stats(X.pairs(spark, sf), "after", "before", C.words)
 
 
 def generation_length(spark, sf):
@@ -87,8 +88,12 @@ QUERIES = {
     "ngram_overlap": lambda s, d: M.ngram_overlap(_overlap(s, d)),
     "corpus_bleu": lambda s, d: _rounded(M.corpus_bleu(_overlap(s, d))),
     "google_bleu": lambda s, d: _rounded(M.google_bleu(_overlap(s, d))),
+    "corpus_bleu_13a": lambda s, d: _rounded(M.corpus_bleu(
+        M.ngram_stats(X.pairs(s, d), "after", "before"))),
+    "google_bleu_13a": lambda s, d: _rounded(M.google_bleu(
+        M.ngram_stats(X.pairs(s, d), "after", "before"))),
     "generation_length": lambda s, d: _rounded(generation_length(s, d)),
-    "macro_metrics": lambda s, d: _rounded(M.macro_metrics(X.pairs(s, d), "after", "before")),
+    "macro_metrics": lambda s, d: _rounded(M.macro_metrics(X.pairs(s, d), "after", "before", C.words)),
     "confusion_metrics": lambda s, d: _rounded(M.confusion(_judged(s, d), "y", "predicted")),
     "roc_auc": lambda s, d: _rounded(M.roc_auc(X.scored_rows(s, d), "y", "sc")),
     "pr_auc": lambda s, d: _rounded(M.pr_auc(X.scored_rows(s, d), "y", "sc")),
@@ -117,6 +122,18 @@ _WORD = r"'[^ \t\n\x0B\f\r]+'"
 _TOKEN = r"'[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]'"
 
 
+def _13a(column):
+    """The same fixed tokenisation rules, for the check engine."""
+    c = f"replace(replace(replace({column}, '<skipped>', ''), '-' || {NL}, ''), {NL}, ' ')"
+    for find, put in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{find}', '{put}')"
+    c = f"' ' || {c} || ' '"
+    for find, put in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                      (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        c = f"regexp_replace({c}, '{find}', '{put}', 'g')"
+    return c
+
+
 def _side(column):
     return f"""select pair_id, pos, t as g1, t || ' ' || lead(t, 1) over w g2,
             t || ' ' || lead(t, 1) over w || ' ' || lead(t, 2) over w g3,
@@ -132,8 +149,12 @@ def _count(view):
         for n in range(1, 5))
 
 
-_NGRAMS = {
-    "hg": _side("after"), "rg": _side("before"), "hc": _count("hg"), "rc": _count("rg"),
+def _ngrams(after="after", before="before"):
+    return {"hg": _side(after), "rg": _side(before), **_COUNTED}
+
+
+_COUNTED = {
+    "hc": _count("hg"), "rc": _count("rg"),
     "per_n": """select coalesce(h.pair_id, r.pair_id) pair_id, coalesce(h.n, r.n) n,
             sum(least(coalesce(h.c, 0), coalesce(r.c, 0))) m, sum(coalesce(h.c, 0)) h, sum(coalesce(r.c, 0)) r
         from hc h full join rc r on h.pair_id = r.pair_id and h.n = r.n and h.g = r.g group by 1, 2""",
@@ -182,11 +203,17 @@ ORACLES = {
         "answers"),
     "ngram_overlap": sql(
         """select n, cast(sum(m) as bigint) matched, cast(sum(h) as bigint) hyp, cast(sum(r) as bigint) as ref
-           from per_n group by n""", "pairs", **_NGRAMS),
-    "corpus_bleu": sql(f"select round({_bleu_sql()}, 6) bleu from total", "pairs", **_NGRAMS),
+           from per_n group by n""", "pairs", **_ngrams()),
+    "corpus_bleu": sql(f"select round({_bleu_sql()}, 6) bleu from total", "pairs", **_ngrams()),
     "google_bleu": sql(
         """select round(cast(sum(m) as double) / sum(greatest(h, r)), 6) google_bleu
-           from (select sum(m) m, sum(h) h, sum(r) r from per_n group by pair_id)""", "pairs", **_NGRAMS),
+           from (select sum(m) m, sum(h) h, sum(r) r from per_n group by pair_id)""", "pairs", **_ngrams()),
+    "corpus_bleu_13a": sql(f"select round({_bleu_sql()}, 6) bleu from total", "pairs",
+                           **_ngrams(_13a("after"), _13a("before"))),
+    "google_bleu_13a": sql(
+        """select round(cast(sum(m) as double) / sum(greatest(h, r)), 6) google_bleu
+           from (select sum(m) m, sum(h) h, sum(r) r from per_n group by pair_id)""", "pairs",
+        **_ngrams(_13a("after"), _13a("before"))),
     "generation_length": sql(
         f"""select round(avg(least(n, 512)), 6) id_length, round(avg(n), 6) text_length
             from (select len(regexp_extract_all(pred, {_TOKEN})) n from answers)""", "answers"),
@@ -195,7 +222,7 @@ ORACLES = {
             round(avg(round(cast(m1 + m2 + m3 + m4 as double) / greatest(h1 + h2 + h3 + h4, r1 + r2 + r3 + r4), 4)), 6) google_bleu,
             round(avg(case when trim(before, {WS}) = trim(after, {WS}) then 1.0 else 0.0 end), 6) accuracy,
             round(avg(h1), 6) gen_len
-            from pairs p join wide w on p.pair_id = w.pair_id""", "pairs", **_NGRAMS),
+            from pairs p join wide w on p.pair_id = w.pair_id""", "pairs", **_ngrams()),
     "confusion_metrics": sql(
         f"select {_AS_INT}, {_RATIOS} from (select {_COUNTS} from (select y, sc >= 0.5 p from scored_rows))",
         "scored_rows"),

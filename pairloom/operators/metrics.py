@@ -53,10 +53,13 @@ def tokens_13a(c: Column) -> Column:
     return X.words(c)
 
 
-def ngram_stats(df: DataFrame, hyp: str, ref: str, tokenise=X.words,
+def ngram_stats(df: DataFrame, hyp: str, ref: str, tokenise=tokens_13a,
                 row_id: str = "pair_id") -> DataFrame:
     """(row_id, n, matched, hyp, ref): clipped n-gram counts of every row, n = 1..4.
 
+    ``tokenise`` maps a text column to a word array; ``text.words`` cuts at white
+    space only.
+
     Texts are partitioned by id before they are cut up, so the counts need no
     further shuffle.  N-grams come from zipping the token array with itself
     shifted by 1..3, which stays in compiled code.
@@ -126,7 +129,7 @@ def google_bleu(stats: DataFrame, row_id: str = "pair_id") -> DataFrame:
     return _row_gleu(stats, row_id).agg((F.sum("m") / F.sum("t")).alias("google_bleu"))
 
 
-def macro_metrics(df: DataFrame, hyp: str, ref: str, tokenise=X.words,
+def macro_metrics(df: DataFrame, hyp: str, ref: str, tokenise=tokens_13a,
                   row_id: str = "pair_id") -> DataFrame:
     """Every score per row, rounded to 4 places, then averaged.
 

@@ -52,8 +52,7 @@ def test_entry(spark):
     assert rows and {"pair_id", "generated", "status"} <= set(rows[0].asDict())
 
 
-@pytest.mark.parametrize("name", ["line_diff", "edit_script", "apply_edits", "uniquify_lines", "vocabulary",
-                                  "effort_at_recall", "split_balanced"])
+@pytest.mark.parametrize("name", ["edit_script", "apply_edits", "vocabulary", "effort_at_recall"])
 def test_partition_count_does_not_matter(spark, name):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
