@@ -1,7 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from pairloom.functions import text as X
 from pairloom.functions import wire
