@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.llm import decontaminate, languages, mixing, near_dups, sharding
+from pairloom.llm import (
+    decontaminate, fuzzy_lines, languages, licenses, mixing, near_dups, neighbours, sharding, token_counts, url_filter)
 from pairloom.llm.tables import read
 
 SHARDS = 40
@@ -13,6 +14,11 @@ MIX_SHARE, MIX_EPOCHS, MIX_SEED = 60, 2, 11
 #: Weights by level; what is not named has weight 1.
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 DOMAIN_WEIGHTS = {"d0": 3, "d1": 2}
+#: Host and path rules of the url filter; the longest that fits decides.
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+#: Every so many vectors one is a query, and how many neighbours it gets.
+QUERY_EVERY, NEIGHBOURS = 20, 20
+TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
 
 
 def text_bytes(text: Column) -> Column:
@@ -46,6 +52,22 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, source_domain(F.col("source")), total, mix_weights(), MIX_EPOCHS, MIX_SEED).drop("text_key")
 
 
+def op3_hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
+
+
+def op4_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has url labels, so urls that a rule decides are the labelled ones, the bounded
+    sample of the operator; the regression judges the urls without a rule."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    rules = [url_filter.rule(x) for x in URL_RULES]
+    verdict = url_filter.first_rule(rules, url_filter.host(F.col("url")), url_filter.path(F.col("url")))[1]
+    labelled = pages.select("url", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label"))
+    judged = url_filter.judge(pages, rules, url_filter.train(labelled), "url")
+    return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"),
+                         F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
 def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
@@ -55,11 +77,26 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op7_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(read(spark, sf_dir, "documents"))
+
+
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op9_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+
+
 def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_histogram_shards, op2_source_mixture, op5_benchmark_windows, op6_near_duplicates, op10_language_codes)}
+    op1_histogram_shards, op2_source_mixture, op3_hash_neighbours, op4_url_regression, op5_benchmark_windows,
+    op6_near_duplicates, op7_license_compression, op8_fuzzy_lines, op9_pretoken_counts, op10_language_codes)}
 
 ORACLES: dict[str, str] = {}
