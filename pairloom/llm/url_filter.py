@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom.llm.tables import ascii_lower
 
 #: Hash buckets, n-gram lengths, and the most rows that the regression is fitted on.
-BUCKETS, GRAMS, TRAIN_ROWS = 1 << 14, (3, 4, 5), 5000
+BUCKETS, GRAMS, TRAIN_ROWS = 1 << 18, (3, 4, 5), 5000
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int
         # Both labels weigh alike, whatever their numbers.
         share = F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0])).otherwise(sum(n.values()) / (2 * n[0.0]))
         stages = [HashingTF(inputCol="_grams", outputCol="_features", numFeatures=BUCKETS, binary=True),
-                  LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", regParam=0.01, maxIter=40,
+                  LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", regParam=0.001, maxIter=40,
                                      predictionCol="_label", probabilityCol="_odds", rawPredictionCol="_raw")]
         return Pipeline(stages=stages).fit(sample.withColumn("_weight", share))
     finally:
