@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.session import durable
 
 
+
+# The smallest neighbours are dealt out anew before each join: both sides of it are then
+# shuffled for the join, which lets adaptive execution split a node with very many links.
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to its smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a", "m")
     return (both.join(least, "a").where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
@@ -20,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
     Rows are (larger, smaller).
     """
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).repartition("a", "m")
     joined = edges.join(least, "a")
     return (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))

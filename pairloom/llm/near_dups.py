@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     postings = classes.select("_cid", F.posexplode(_coordinates()).alias("_k", "_v"))
     counts = postings.groupBy("_k", "_v").agg(F.count("*").alias("_count")).where("_count > 1")
-    # Values are kept together with their list's length; lists of one are skipped.
-    shared = (postings.join(counts, ["_k", "_v"])
+    # Values are kept together with their list's length; lists of one are skipped.  Counts are
+    # stored, so that both sides of the join are shuffled for it and hot values can be split.
+    shared = (postings.join(durable(counts), ["_k", "_v"])
               .groupBy("_cid").agg(F.sort_array(F.collect_list(F.struct("_count", "_k", "_v"))).alias("_all"))
               .where(F.size("_all") >= MATCHES)
               .select("_cid", F.slice("_all", 1, F.size("_all") - MATCHES + 1).alias("_rarest")))
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "_set", "_least", F.coalesce("root", "_cid").alias("_root"))
     of_class = durable(of_class)
     least = of_class.groupBy("_root").agg(F.min("_least").alias("_component"))
-    of_set = of_class.join(least, "_root").select("_set", "_component")
+    of_set = of_class.join(durable(least), "_root").select("_set", "_component")
     component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
     return (rows.join(of_set, "_set", "left")
             .select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"),
