@@ -17,14 +17,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``documents``, spread over the cores if the scan has fewer splits than that.
-
-    A small file of one row group is a single scan task.  A large table has many
-    splits and is used as it is.
-    """
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    few = docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    return docs.repartition("doc_id") if few else docs
+    """Ids and whole texts of ``documents``, partitioned as the scan gives them at any size."""
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def functions(spark: SparkSession, sf: str) -> DataFrame:

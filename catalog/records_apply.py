@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.diff_sql import script_views
 from catalog.fixtures import NL, WS, sql, table
+from pairloom import schema as S
 from pairloom.functions import text as C
 from pairloom.functions import wire
 from pairloom.operators import apply as A
@@ -39,18 +40,25 @@ def oversize_rows(spark, sf):
     return R.oversize_rows(rows)
 
 
-def _encoded(spark, sf):
+def _encoded(spark, sf, length=None):
     f = X.functions(spark, sf)
-    return R.encode_tokens(f, "before", R.vocabulary(f, "before"))
-
-
-def encode_tokens(spark, sf):
-    return _encoded(spark, sf).select(
+    return R.encode_tokens(f, "before", R.vocabulary(f, "before"), length).select(
         "pair_id", F.array_join("input_ids", " ").alias("input_ids"),
         F.array_join("attention_mask", "").alias("attention_mask"),
         F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+def encode_tokens(spark, sf):
+    """Whole texts, padded to the longest."""
+    return _encoded(spark, sf)
+
+
+def encode_tokens_cut(spark, sf):
+    """The model input: cut and padded to its fixed length."""
+    return _encoded(spark, sf, S.INPUT_TOKENS)
+
+
+
 def mask_label_padding(spark, sf):
     rows = X.predictions(spark, sf).withColumn("injections", F.coalesce("injections", F.lit("")))
     ids = R.encode_tokens(rows, "injections", R.vocabulary(rows, "injections"), length=None)
@@ -62,8 +70,7 @@ def train_test_build(spark, sf):
     """Records of both splits: train rows are deduplicated, test rows are not."""
     rows = X.pairs(spark, sf).join(table(spark, sf, "labels").select(
         F.col("doc_id").alias("pair_id"), F.lit("test").alias("split")), "pair_id", "left")
-    long_rows = rows.where(F.char_length("before") > 6000)
-    build = lambda part, dd: datasets.build_records(part, long_rows, dedup_rows=dd)
+    build = lambda part, dd: datasets.build_records(part, dedup_rows=dd)
     train = build(rows.where(F.col("split").isNull()), True).withColumn("split", F.lit("train")).drop("before", "after")
     test = build(rows.where(F.col("split") == "test"), False).withColumn("split", F.lit("test")).drop("before", "after")
     return train.unionByName(test)
@@ -137,7 +144,7 @@ QUERIES = {
     "filter_max_tokens": filter_max_tokens,
     "oversize_rows": oversize_rows,
     "vocabulary": lambda s, d: R.vocabulary(X.functions(s, d), "before"),
-    "encode_tokens": encode_tokens,
+    "encode_tokens": encode_tokens, "encode_tokens_cut": encode_tokens_cut,
     "mask_label_padding": mask_label_padding,
     "train_test_build": train_test_build,
     "split_balanced": split_balanced,
@@ -186,11 +193,23 @@ def _folded(table_sql: str, column: str) -> str:
         group by pair_id, g) group by pair_id"""
 
 
+def _encode_sql(width: str, kept: str) -> str:
+    return sql(
+        f"""select f.pair_id, coalesce(any_value(s), '') || case when coalesce(any_value(n), 0) in (0, w) then '' else ' ' end
+                || rtrim(repeat('0 ', w - coalesce(any_value(n), 0))) input_ids,
+            repeat('1', coalesce(any_value(n), 0)) || repeat('0', w - coalesce(any_value(n), 0)) attention_mask,
+            coalesce(any_value(n), 0) n_tokens
+           from functions f cross join (select {width} w) left join (
+               select pair_id, count(*) n, string_agg(token_id, ' ' order by pos) s
+               from ids where {kept} group by pair_id) c on f.pair_id = c.pair_id group by f.pair_id, w""",
+        "functions", vocab=_vocab("functions", "before"), ids=_ids("functions", "before"))
+
+
 def _train_test_sql() -> str:
     stay = f"""select pair_id, split, before, after from (
             select p.pair_id, case when l.doc_id is null then 'train' else 'test' end split,
                 ltrim(before, {WS}) before, after
-            from pairs p left join labels l on p.pair_id = l.doc_id where not length(p.before) > 6000)
+            from pairs p left join labels l on p.pair_id = l.doc_id)
         qualify split = 'test' or row_number() over (partition by split,
             regexp_replace(before || after, '[ \\n\\r\\t]', '', 'g') order by pair_id) = 1"""
     return sql("select r.pair_id, inputs, outputs, split from records r join stay s on r.pair_id = s.pair_id",
@@ -256,15 +275,8 @@ ORACLES = {
         n=f"""select pair_id, len(regexp_extract_all(before, {_TOKEN})) n_in,
               len(regexp_extract_all(coalesce(injections, ''), {_TOKEN})) n_out from applied_input"""),
     "vocabulary": sql(f"select * from ({_vocab('functions', 'before')})", "functions"),
-    "encode_tokens": sql(
-        """select f.pair_id, coalesce(any_value(s), '') || case when coalesce(any_value(n), 0) in (0, 2048) then '' else ' ' end
-                || rtrim(repeat('0 ', 2048 - coalesce(any_value(n), 0))) input_ids,
-            repeat('1', coalesce(any_value(n), 0)) || repeat('0', 2048 - coalesce(any_value(n), 0)) attention_mask,
-            coalesce(any_value(n), 0) n_tokens
-           from functions f left join (
-               select pair_id, count(*) n, string_agg(token_id, ' ' order by pos) s
-               from ids where pos <= 2048 group by pair_id) c on f.pair_id = c.pair_id group by f.pair_id""",
-        "functions", vocab=_vocab("functions", "before"), ids=_ids("functions", "before")),
+    "encode_tokens": _encode_sql("(select max(len(regexp_extract_all(before, %s))) from functions)" % _TOKEN, "true"),
+    "encode_tokens_cut": _encode_sql("2048", "pos <= 2048"),
     "mask_label_padding": sql(
         """select p.pair_id, array_to_string(list_concat(coalesce(l, []),
                 case when w = coalesce(len(l), 0) then [] else

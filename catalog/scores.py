@@ -34,7 +34,7 @@ def _overlap(spark, sf):
 def generation_length(spark, sf):
     """Tokens of the re-encoded text, and non-pad ids of the encoded rows."""
     rows = X.answers(spark, sf)
-    ids = records.encode_tokens(rows, "pred", records.vocabulary(rows, "pred"), length=512)
+    ids = records.encode_tokens(rows, "pred", records.vocabulary(rows, "pred"))
     return ids.select("pair_id", F.size(F.filter("input_ids", lambda x: x != 0)).alias("n_ids")).join(
         rows.select("pair_id", records.token_count(F.col("pred")).alias("n_text")), "pair_id").agg(
         F.avg("n_ids").alias("id_length"), F.avg("n_text").alias("text_length"))
@@ -215,7 +215,7 @@ ORACLES = {
            from (select sum(m) m, sum(h) h, sum(r) r from per_n group by pair_id)""", "pairs",
         **_ngrams(_13a("after"), _13a("before"))),
     "generation_length": sql(
-        f"""select round(avg(least(n, 512)), 6) id_length, round(avg(n), 6) text_length
+        f"""select round(avg(n), 6) id_length, round(avg(n), 6) text_length
             from (select len(regexp_extract_all(pred, {_TOKEN})) n from answers)""", "answers"),
     "macro_metrics": sql(
         f"""select round(avg(round({_bleu_sql()}, 4)), 6) bleu,

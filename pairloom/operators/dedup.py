@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.operators.scale import ROWS_PER_SALT, salted_join
+from pairloom.session import durable
 
 
 def keep_first(df: DataFrame, key: Column, row_id: str = "pair_id") -> DataFrame:
@@ -13,22 +13,25 @@ def keep_first(df: DataFrame, key: Column, row_id: str = "pair_id") -> DataFrame
     Only (key, min id) is aggregated, and that is combined before the shuffle, so
     one key with a third of all rows costs no more than any other.  The texts then
     move once, in a semi join on the unique id.  A window per key would sort the
-    whole hot group in one task.
+    whole hot group in one task.  A row with a null key is no duplicate of any other
+    and stays.
     """
+    alone = F.when(F.col("_key").isNull(), F.col(row_id)).alias("_alone")
     kept = (df.select(key.alias("_key"), F.col(row_id))
-            .groupBy("_key").agg(F.min(row_id).alias(row_id)).select(row_id))
+            .groupBy("_key", alone).agg(F.min(row_id).alias(row_id)).select(row_id))
     return df.join(kept, row_id, "left_semi")
 
 
-def duplicate_groups(df: DataFrame, key: Column, row_id: str = "pair_id",
-                     rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def duplicate_groups(df: DataFrame, key: Column, row_id: str = "pair_id") -> DataFrame:
     """Members of every group of two or more equal rows, one row per member.
 
     The group is given in long form (fingerprint, first id, copies, member id):
-    an id list per group would have to fit into one row of one task.
+    an id list per group would have to fit into one row of one task.  The groups are
+    stored first: only if both sides of the join are shuffled anew for it can adaptive
+    execution split a hot key.  Rows with a null key have no duplicates.
     """
     rows = df.select(key.alias("fingerprint"), F.col(row_id))
     groups = (rows.groupBy("fingerprint")
               .agg(F.count("*").alias("copies"), F.min(row_id).alias("first_id"))
               .where(F.col("copies") > 1))
-    return salted_join(rows, groups, ["fingerprint"], "copies", row_id, rows_per_salt)
+    return rows.join(durable(groups), "fingerprint")

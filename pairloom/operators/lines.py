@@ -49,11 +49,11 @@ def normalise_identifiers(df: DataFrame, text: str, row_id: str = "pair_id") ->
     """Tokens of each text with identifiers renamed FUN1.., VAR1.. by first use.
 
     A name that some ``(`` follows at its first use is a function.  Returns
-    (row_id, tokens ARRAY<STRING>).  All windows stay inside one text.
+    (row_id, tokens ARRAY<STRING>), with no tokens for an empty or null text.  All windows stay inside one text.
     """
     flat = (df.repartition(row_id)
             .select(row_id, X.tokens(F.col(text)).alias("_t"))
-            .select(row_id, F.explode(_with_call(F.col("_t"))).alias("s"))
+            .select(row_id, F.explode_outer(_with_call(F.col("_t"))).alias("s"))
             .select(row_id, "s.*"))
     name = F.col("token").rlike(X.IDENTIFIER) & ~F.col("token").isin(RESERVED)
     per_token = Window.partitionBy(row_id, "token")
@@ -66,7 +66,7 @@ def normalise_identifiers(df: DataFrame, text: str, row_id: str = "pair_id") ->
         F.concat("_kind", F.dense_rank().over(by_first).cast("string")))
     return (flat.withColumn("_new", renamed)
             .groupBy(row_id)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "_new"))).alias("_l"))
+            .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "_new")))).alias("_l"))
             .select(row_id, F.col("_l._new").alias("tokens")))
 
 

@@ -50,7 +50,7 @@ def recall_at_effort(df: DataFrame, effort: float = 0.01, row_id: str = "pair_id
     cut = cut_position(
         df.select(row_id, "pos", score, truth), _line_order(row_id, score), {"hits": F.col(truth), "lines": F.lit(1)},
         "lines", F.floor(F.lit(effort) * F.col("lines_all")))
-    return cut.select(F.coalesce(F.col("hits") / F.col("hits_all"), F.lit(0.0)).alias("recall"))
+    return cut.select(F.coalesce(F.try_divide("hits", "hits_all"), F.lit(0.0)).alias("recall"))
 
 
 def recall_by_probability(df: DataFrame, share: float = 0.2, row_id: str = "id",
@@ -59,7 +59,7 @@ def recall_by_probability(df: DataFrame, share: float = 0.2, row_id: str = "id",
     cut = cut_position(
         df.select(row_id, score, truth), [F.desc(score), F.asc(row_id)], {"hits": F.col(truth), "rows": F.lit(1)},
         "rows", F.floor(F.lit(share) * F.col("rows_all")))
-    return cut.select(F.coalesce(F.col("hits") / F.col("hits_all"), F.lit(0.0)).alias("recall"))
+    return cut.select(F.coalesce(F.try_divide("hits", "hits_all"), F.lit(0.0)).alias("recall"))
 
 
 def longest_first(df: DataFrame, size: str, row_id: str = "pair_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
 from pairloom.functions.arrays import let
-from pairloom.operators.scale import ROWS_PER_SALT, global_running, number_rows, salted_join
+from pairloom.operators.scale import global_running, number_rows
 
 
 def split_prompt(df: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -55,27 +55,26 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     return number_rows(counts, [F.desc("n"), F.asc("token")], "token_id")
 
 
-def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None = S.INPUT_TOKENS,
-                  pad: int = 0, row_id: str = "pair_id",
-                  rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """(row_id, input_ids, attention_mask, n_tokens): cut and padded id arrays.
+def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None = None,
+                  pad: int = 0, row_id: str = "pair_id") -> DataFrame:
+    """(row_id, input_ids, attention_mask, n_tokens): padded id arrays of whole texts.
 
-    ``length=None`` pads to the longest row.  Each text sends one row per distinct
-    token to the vocabulary join, with the positions in an array; frequent tokens
-    are salted there.  Tokens outside the vocabulary get the pad id.
+    Rows are padded to the longest one; a ``length`` cuts and pads to that instead.  A
+    text is partitioned by its id before it is cut into tokens, and sends one row per
+    distinct token to the vocabulary join, with the positions in an array; adaptive
+    execution splits frequent tokens there.  Tokens outside the vocabulary get the pad
+    id.  A text without tokens keeps its row.
     """
     toks = F.col("_t") if length is None else F.slice("_t", 1, length)
-    spots = (df.select(row_id, X.tokens(F.col(text)).alias("_t"))
-             .select(row_id, F.posexplode(toks).alias("pos", "token"))
+    spots = (df.select(row_id, text).repartition(row_id).select(row_id, X.tokens(F.col(text)).alias("_t"))
+             .select(row_id, F.posexplode_outer(toks).alias("pos", "token"))
              .groupBy(row_id, "token").agg(F.collect_list("pos").alias("spots")))
-    coded = salted_join(spots, vocab.select("token", "token_id", "n"), ["token"], "n",
-                        row_id, rows_per_salt, how="left")
-    ids = (coded.select(row_id, F.explode("spots").alias("pos"),
-                        F.coalesce(F.col("token_id"), F.lit(pad)).cast("int").alias("id"))
-           .groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_s"))
+    coded = spots.join(vocab.select("token", "token_id"), "token", "left")
+    place = F.when(F.col("pos").isNotNull(), F.struct(
+        "pos", F.coalesce(F.col("token_id"), F.lit(pad)).cast("int").alias("id")))
+    ids = (coded.select(row_id, F.explode_outer("spots").alias("pos"), "token_id")
+           .groupBy(row_id).agg(F.sort_array(F.collect_list(place)).alias("_s"))
            .select(row_id, F.col("_s.id").alias("_ids")))
-    ids = df.select(row_id).join(ids, row_id, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
     size = F.size("_ids")
     width = F.lit(length) if length is not None else df.agg(
         F.coalesce(F.max(token_count(F.col(text))), F.lit(0))).scalar()

@@ -8,36 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.session import durable
 
-ROWS_PER_SALT = 500_000
-MAX_HEAVY_KEYS = 4096
-
-
-def salted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], weight: str,
-                spread_by: str, rows_per_salt: int = ROWS_PER_SALT,
-                how: str = "inner") -> DataFrame:
-    """Join ``rows`` to one-row-per-key ``stats`` when some keys are very hot.
-
-    ``weight`` is the row count of the key.  The heaviest keys (at most
-    ``MAX_HEAVY_KEYS``, so the broadcast has a fixed size) are split into
-    weight / rows_per_salt slices: the row side picks a slice by hash, the stats
-    side is copied once per slice.  A key outside that list holds less than
-    1/MAX_HEAVY_KEYS of all rows, and goes through the plain shuffle join.
-    """
-    keys = list(keys)
-    fan = F.ceil(F.col(weight) / F.lit(rows_per_salt)).cast("int")
-    heavy = (stats.where(F.col(weight) > rows_per_salt)
-             .orderBy(F.desc(weight), *keys).limit(MAX_HEAVY_KEYS)
-             .select(*keys, fan.alias("_fan")))
-    heavy = F.broadcast(heavy)
-    slice_of = F.when(F.col("_fan").isNotNull(),
-                      F.pmod(F.xxhash64(spread_by), F.col("_fan")).cast("int")).otherwise(0)
-    left = (rows.join(heavy, keys, "left").withColumn("_salt", slice_of).drop("_fan"))
-    right = (stats.join(heavy, keys, "left")
-             .withColumn("_salt", F.explode(F.sequence(
-                 F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)))
-             .drop("_fan"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
 
 def range_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-partition by a unique order and store each row's part number.

@@ -25,14 +25,13 @@ def prepared_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def dataset_table(pairs: DataFrame, max_lines: int | None = None) -> DataFrame:
-    """Pairs with their two target columns; oversize pairs are dropped.
+    """Pairs with their two target columns; pairs with ``max_lines`` changed lines or more are dropped.
 
     A pair without any edit keeps two empty targets.
     """
     ready = prepared_pairs(pairs)
     script = diff.edit_script(diff.edits_of(ready))
-    limit = {} if max_lines is None else {"max_lines": max_lines}
-    targets = diff.location_targets(script, **limit).withColumn("_edited", F.lit(True))
+    targets = diff.location_targets(script, max_lines).withColumn("_edited", F.lit(True))
     out = ready.join(targets, "pair_id", "left")
     for c in ("lines_with_vul", "lines_after_fix"):
         out = out.withColumn(c, F.when(F.col("_edited").isNull(), F.lit("")).otherwise(F.col(c)))

@@ -37,11 +37,9 @@ def test_vocabulary_and_encoding(spark):
     vocab = R.vocabulary(df, "t")
     ids = {r.token: r.token_id for r in vocab.collect()}
     assert ids == {"a": 1, "b": 2, "c": 3, "zz": 4}
-    for per_salt in (1, 500_000):
-        rows = {r.pair_id: r for r in R.encode_tokens(
-            df, "t", vocab, length=3, rows_per_salt=per_salt).collect()}
-        assert rows[1].input_ids == [2, 1, 2] and rows[2].input_ids == [0, 0, 0]
-        assert rows[3].attention_mask == [1, 1, 1] and rows[2].attention_mask == [0, 0, 0]
+    rows = {r.pair_id: r for r in R.encode_tokens(df, "t", vocab, length=3).collect()}
+    assert rows[1].input_ids == [2, 1, 2] and rows[2].input_ids == [0, 0, 0]
+    assert rows[3].attention_mask == [1, 1, 1] and rows[2].attention_mask == [0, 0, 0]
     longest = {r.pair_id: r.input_ids for r in R.encode_tokens(df, "t", vocab, length=None).collect()}
     assert longest[1] == [2, 1, 2, 3] and longest[2] == [0, 0, 0, 0]
     known = vocab.where("token <> 'zz'")
@@ -95,7 +93,8 @@ def test_commit_to_cwe(spark):
 def test_dataset_table(pair_table):
     p = pair_table(("int f()\n{\na;\n}", "int f()\n{\nb;\n}"), ("x", "x"), (None, "q"),
                    ("\n".join(f"l{i}" for i in range(40)), "w"))
-    rows = {r.pair_id: r for r in datasets.dataset_table(p).collect()}
+    assert {r.pair_id for r in datasets.dataset_table(p).collect()} == {0, 1, 3}
+    rows = {r.pair_id: r for r in datasets.dataset_table(p, max_lines=15).collect()}
     assert set(rows) == {0, 1}
     assert (rows[0].lines_with_vul, rows[0].lines_after_fix) == (" b; }", " a; }")
     assert (rows[1].lines_with_vul, rows[1].lines_after_fix) == ("", "")

@@ -17,25 +17,8 @@ def hot_rows(spark):
         .alias("k"))
 
 
-@pytest.mark.parametrize("per_salt", [10, 1_000_000])
-def test_salted_join_keeps_every_row(hot_rows, per_salt):
-    stats = hot_rows.groupBy("k").agg(F.count("*").alias("n"))
-    joined = scale.salted_join(hot_rows, stats, ["k"], "n", "pair_id", per_salt)
-    got = joined.orderBy("pair_id").collect()
-    assert [r.pair_id for r in got] == list(range(900))
-    assert all(r.n == 300 for r in got if r.k == "hot")
-
-
-def test_salted_left_join_keeps_unknown_keys(hot_rows):
-    stats = hot_rows.where("k <> 'k1'").groupBy("k").agg(F.count("*").alias("n"))
-    joined = scale.salted_join(hot_rows, stats, ["k"], "n", "pair_id", 10, how="left")
-    assert joined.count() == 900
-    assert joined.where("n is null").select("k").distinct().collect() == [("k1",)]
-
-
-@pytest.mark.parametrize("per_salt", [7, 1_000_000])
-def test_duplicate_groups_of_a_hot_key(hot_rows, per_salt):
-    got = dedup.duplicate_groups(hot_rows, F.col("k"), rows_per_salt=per_salt).where("fingerprint = 'hot'")
+def test_duplicate_groups_of_a_hot_key(hot_rows):
+    got = dedup.duplicate_groups(hot_rows, F.col("k")).where("fingerprint = 'hot'")
     assert sorted(r.pair_id for r in got.collect()) == list(range(0, 900, 3))
     assert got.select("copies", "first_id").distinct().collect() == [(300, 0)]
 
@@ -50,6 +33,38 @@ def test_keep_first(hot_rows):
     assert again.count() == len(kept)
 
 
+def test_keep_first_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "pair_id long, k string")
+    assert sorted(r.pair_id for r in dedup.keep_first(rows, F.col("k")).collect()) == [1, 2, 3]
+    assert sorted(r.pair_id for r in dedup.duplicate_groups(rows, F.col("k")).collect()) == [3, 4]
+
+
+def test_hot_join_key_is_split_at_run_time(spark, tmp_path):
+    """One token with most rows: the join with its one-row table reads it in several tasks."""
+    old = {k: spark.conf.get(k, None) for k in (
+        "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+        rows = spark.range(40000, numPartitions=8).select(
+            F.col("id").alias("pair_id"), F.when(F.col("id") % 100 > 0, "hot").otherwise(F.sha1(F.col("id").cast("string"))).alias("k"))
+        got = dedup.duplicate_groups(rows, F.col("k"))
+        assert len(got.collect()) == 39600
+        got.write.parquet(str(tmp_path / "out"))
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_effort_cuts_without_a_true_row(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, 0), (2, 0, 0.4, 0)], "pair_id long, pos int, sc double, y int")
+    assert R.recall_at_effort(rows, 0.5).first().recall == 0.0
+    assert R.recall_by_probability(rows.withColumnRenamed("pair_id", "id"), 0.5).first().recall == 0.0
+
+
 def test_keep_first_moves_no_hot_group(hot_rows):
     plan = dedup.keep_first(hot_rows, F.col("k"))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_min" in plan
