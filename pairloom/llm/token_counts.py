@@ -26,6 +26,8 @@ PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L
 #: characters, taken from a sample of at most so many documents.  The sample decides only
 #: which pre-tokens are looked up in the task; all others take the join.
 COMMON, COMMON_CHARS, SAMPLE = 1 << 17, 40, 4000
+#: Texts whose frequencies a task holds at a time.
+SLICE = 400
 
 
 class Cutter:
@@ -101,7 +103,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, get = Cutter(added), known.value.get
         rest = pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())]))
-        for batch in batches:
+        # Frequencies of a few hundred texts at a time, whatever the size of a batch.
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             size, n, rare = [], [], []
             for text in batch.column("_text").to_pylist():
                 pieces, extra = cutter(text) if text else ([], 0)
