@@ -23,7 +23,7 @@ PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L
              r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 #: Frequent pre-tokens whose piece counts every task gets: at most so many, none of more
-#: characters, taken from a sample of at most so many documents.  The sample decides only
+#: characters, taken from a sample of about so many documents.  The sample decides only
 #: which pre-tokens are looked up in the task; all others take the join.
 COMMON, COMMON_CHARS, SAMPLE = 1 << 17, 40, 4000
 #: Texts whose frequencies a task holds at a time.
@@ -66,7 +66,7 @@ def _pieces(path: str):
 
 
 def _common(docs: DataFrame, added: list[str]) -> list[str]:
-    """Frequent pre-tokens of a bounded sample."""
+    """Frequent pre-tokens of a sample of about SAMPLE rows, drawn in every task: no text is moved."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(added)
         for batch in batches:
@@ -76,7 +76,7 @@ def _common(docs: DataFrame, added: list[str]) -> list[str]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
 
-    sample = docs.where("_text is not null").limit(SAMPLE)
+    sample = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1).where("_text is not null")
     rows = (sample.select("_text").mapInArrow(cut, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "piece").limit(COMMON).select("piece").collect())
     return [r.piece for r in rows]
