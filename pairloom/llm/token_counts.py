@@ -8,6 +8,7 @@ pre-token; documents carry pre-token frequencies only, never token ids.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,8 +62,11 @@ def _pieces(path: str):
     """Piece counts of many pre-tokens."""
     from tokenizers import Tokenizer
 
+    # Spark runs a task per core already; threads of the library's own would only hold memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [len(x) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for at in range(0, len(texts), SLICE)
+                          for x in tokenizer.encode_batch(texts[at:at + SLICE], add_special_tokens=False)]
 
 
 def _common(docs: DataFrame, added: list[str]) -> list[str]:
