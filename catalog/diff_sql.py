@@ -76,12 +76,12 @@ def script_views(source: str) -> dict[str, str]:
         where side = 0 or nd = 0"""
     v["edits"] = f"""select * from all_edits where not (kind = 'replace' and len(value) = 1
         and trim(value[1], {WS}) = trim(key, {WS}))"""
-    v["targets"] = f"""select pair_id,
-            count(*) filter (where kind <> 'insert') n_gone, sum(len(value)) n_new,
+    v["targets"] = f"""select p.pair_id,
+            count(*) filter (where kind <> 'insert') n_gone, coalesce(sum(len(value)), 0) n_new,
             coalesce(string_agg(' ' || key, {NL} order by gap, idx) filter (where kind <> 'insert'), '') lines_after_fix,
             coalesce(string_agg(array_to_string(list_transform(value, lambda x: case kind when 'insert' then x
                 else ' ' || x end), {NL}), {NL} order by gap, idx) filter (where len(value) > 0), '') lines_with_vul
-        from edits group by pair_id"""
+        from {source} p left join edits e on p.pair_id = e.pair_id group by p.pair_id"""
     v["records"] = f"""select p.pair_id,
             any_value(before) || '<|endoftext|>' || {NL} || coalesce(
                 string_agg(' ' || key, {NL} order by gap, idx) filter (where kind <> 'insert'), 'Empty') inputs,

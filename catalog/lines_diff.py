@@ -32,12 +32,12 @@ def _edits(spark, sf):
 def edit_script(spark, sf):
     one = lambda e: F.concat_ws("|", e["ord"], e["kind"], F.coalesce(e["key"], F.lit("")),
                                 F.array_join(e["value"], "~"))
-    return D.edit_script(_edits(spark, sf)).select(
+    return D.scripts_of(X.pairs(spark, sf)).select(
         "pair_id", F.size("script").cast("long").alias("edits"), _join(F.transform("script", one)).alias("script"))
 
 
 def contiguous_locations(spark, sf):
-    return D.contiguous_locations(X.applied_input(spark, sf).where(F.col("locations").isNotNull()))
+    return D.contiguous_locations(X.applied_input(spark, sf))
 
 
 QUERIES = {
@@ -61,10 +61,10 @@ QUERIES = {
     "hunks": hunks,
     "drop_noop_edits": lambda s, d: _edits(s, d).withColumn("value", _join(F.col("value"))),
     "edit_script": edit_script,
-    "location_targets": lambda s, d: D.location_targets(D.edit_script(_edits(s, d))),
+    "location_targets": lambda s, d: D.location_targets(D.scripts_of(X.pairs(s, d))),
     "injection_records": lambda s, d: D.injection_records(
         X.pairs(s, d), D.edit_script(_edits(s, d))),
-    "edit_stats": lambda s, d: D.edit_stats(D.edit_script(_edits(s, d))),
+    "edit_stats": lambda s, d: D.edit_stats(D.scripts_of(X.pairs(s, d))),
     "contiguous_locations": contiguous_locations,
 }
 
@@ -126,10 +126,11 @@ ORACLES = {
     "drop_noop_edits": script_sql(
         f"select pair_id, gap, idx, kind, key, array_to_string(value, {NL}) as value from edits"),
     "edit_script": script_sql(
-        f"""select pair_id, count(*) edits, string_agg(n || '|' || kind || '|' || coalesce(key, '') || '|'
-                || array_to_string(value, '~'), {NL} order by n) script
-            from (select *, row_number() over (partition by pair_id order by gap, idx) n from edits)
-            group by pair_id"""),
+        f"""select p.pair_id, count(n) edits, coalesce(string_agg(n || '|' || kind || '|' || coalesce(key, '') || '|'
+                || array_to_string(value, '~'), {NL} order by n), '') script
+            from pairs p left join (
+                select *, row_number() over (partition by pair_id order by gap, idx) n from edits) e
+            on p.pair_id = e.pair_id group by p.pair_id"""),
     "location_targets": script_sql(
         """select pair_id, case when n_gone < 15 and n_new < 15 then lines_with_vul end lines_with_vul,
             case when n_gone < 15 and n_new < 15 then lines_after_fix end lines_after_fix from targets"""),
@@ -140,13 +141,13 @@ ORACLES = {
             count(*) filter (where n_gone < 15 and n_new < 15) kept,
             cast(sum(n_gone) as bigint) lines_gone, cast(sum(n_new) as bigint) lines_new from targets"""),
     "contiguous_locations": sql(
-        f"""select c.pair_id, bool_and(l.k is null or c.k = l.k) contiguous
-            from (select w.*, p0, w.i - 1 + p0 want from loc w join (
+        f"""select i.pair_id, bool_and(l.k is null or c.k = l.k) filter (where c.pair_id is not null) contiguous
+            from applied_input i left join (select w.*, p0, w.i - 1 + p0 want from loc w join (
                     select f.pair_id, min(pos) p0 from fl f join loc w
                     on f.pair_id = w.pair_id and w.i = 1 and f.k = w.k group by f.pair_id) s
-                on w.pair_id = s.pair_id) c
+                on w.pair_id = s.pair_id) c on i.pair_id = c.pair_id
             left join fl l on c.pair_id = l.pair_id and l.pos = c.want
-            group by c.pair_id""",
+            group by i.pair_id""",
         "applied_input",
         loc=f"""select pair_id, i, trim(x, {WS}) k from (
             select pair_id, generate_subscripts(string_split(locations, {NL}), 1) i,

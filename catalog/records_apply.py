@@ -10,7 +10,7 @@ from catalog.fixtures import NL, WS, sql, table
 from pairloom import schema as S
 from pairloom.functions import text as C
 from pairloom.functions import wire
-from pairloom.operators import apply as A
+from pairloom.operators import apply as A, metrics
 from pairloom.operators import records as R
 from pairloom.operators.ranking import longest_first
 from pairloom.plans import datasets
@@ -70,10 +70,36 @@ def train_test_build(spark, sf):
     """Records of both splits: train rows are deduplicated, test rows are not."""
     rows = X.pairs(spark, sf).join(table(spark, sf, "labels").select(
         F.col("doc_id").alias("pair_id"), F.lit("test").alias("split")), "pair_id", "left")
-    build = lambda part, dd: datasets.build_records(part, dedup_rows=dd)
-    train = build(rows.where(F.col("split").isNull()), True).withColumn("split", F.lit("train")).drop("before", "after")
-    test = build(rows.where(F.col("split") == "test"), False).withColumn("split", F.lit("test")).drop("before", "after")
-    return train.unionByName(test)
+    built = datasets.build_records(rows, dedup_rows=F.col("split").isNull())
+    return (built.drop("before", "after").join(rows.select("pair_id", "split"), "pair_id")
+            .withColumn("split", F.coalesce("split", F.lit("train"))))
+
+
+def location_records(spark, sf):
+    """Location prompts of both splits; see ``train_test_build``."""
+    rows = datasets.dataset_table(X.pairs(spark, sf)).join(table(spark, sf, "labels").select(
+        F.col("doc_id").alias("pair_id"), F.lit("test").alias("split")), "pair_id", "left")
+    return datasets.location_records(rows, dedup_rows=F.col("split").isNull(), eos="<eos>")
+
+
+def _scored(spark, sf):
+    """Predicted edits applied to the source texts, with true texts and classes."""
+    truth = X.pairs(spark, sf).select("pair_id", "after")
+    cwe = X.names(spark, sf).select("pair_id", F.regexp_extract("name", "CWE-[0-9]+", 0).alias("cwe"))
+    return _applied(spark, sf).join(truth, "pair_id").join(cwe, "pair_id")
+
+
+def generate_and_score(spark, sf):
+    """Pairs, matches, accuracy, problems and classes among the matches, of applied edits."""
+    done = _scored(spark, sf)
+    hit = metrics.canonical_match(F.col("generated"), F.col("after"))
+    return done.agg(
+        F.count("*").alias("pairs"), F.count_if(hit).alias("matched"), F.round(metrics.share(hit), 6).alias("accuracy"),
+        F.count_if(A.problem()).alias("problems"), F.countDistinct(F.when(hit, F.col("cwe"))).alias("classes"))
+
+
+def exact_match_misses(spark, sf):
+    return datasets.misses(_scored(spark, sf)).select("pair_id", "status")
 
 
 def split_balanced(spark, sf):
@@ -97,7 +123,7 @@ def parse_script(spark, sf):
 
 
 def locations_present(spark, sf):
-    rows = X.applied_input(spark, sf).where(F.col("locations").isNotNull())
+    rows = X.applied_input(spark, sf)
     return rows.select("pair_id", A.locations_present(F.col("before"), F.col("locations")).alias("present"))
 
 
@@ -111,15 +137,18 @@ def resolve_anchor(spark, sf):
 
 
 def apply_inserts(spark, sf):
-    """All inserts, no replacement."""
-    return _steps(spark, sf).where(F.col("injections").isNotNull()).select(
-        "pair_id", F.array_join(A.with_inserts(F.col("_lines"), F.col("_inserts")), "\n").alias("text"))
+    """All inserts, no replacement; without a prediction the text stays as it is."""
+    new = F.when(F.col("injections").isNull(), F.col("_lines")).otherwise(
+        A.with_inserts(F.col("_lines"), F.col("_inserts")))
+    return _steps(spark, sf).select("pair_id", F.array_join(new, "\n").alias("text"))
 
 
 def apply_replacements(spark, sf):
-    return _steps(spark, sf).where(F.col("locations").isNotNull()).select(
-        "pair_id", F.array_join(A.replaced_lines(), "\n").alias("text"),
-        F.size("_at").cast("long").alias("n_applied"))
+    given = F.col("locations").isNotNull() & F.col("injections").isNotNull()
+    new = F.when(given, A.replaced_lines()).otherwise(F.col("_lines"))
+    return _steps(spark, sf).select(
+        "pair_id", F.array_join(new, "\n").alias("text"),
+        F.when(given, F.size("_at")).otherwise(0).cast("long").alias("n_applied"))
 
 
 def assemble_text(spark, sf):
@@ -147,6 +176,10 @@ QUERIES = {
     "encode_tokens": encode_tokens, "encode_tokens_cut": encode_tokens_cut,
     "mask_label_padding": mask_label_padding,
     "train_test_build": train_test_build,
+    "location_records": location_records,
+    "dataset_table": lambda s, d: datasets.dataset_table(X.pairs(s, d)),
+    "generate_and_score": generate_and_score,
+    "exact_match_misses": exact_match_misses,
     "split_balanced": split_balanced,
     "chunk_rows": chunk_rows,
     "drop_large_graph_rows": drop_large_graph_rows,
@@ -205,6 +238,31 @@ def _encode_sql(width: str, kept: str) -> str:
         "functions", vocab=_vocab("functions", "before"), ids=_ids("functions", "before"))
 
 
+# Prepared pairs from the view ``stay``: braces folded, lines of before unique.
+_READY = {
+    "fb": _folded("select pair_id, before from stay", "before"),
+    "fa": _folded("select pair_id, after from stay", "after"),
+    "fl": f"""select pair_id, generate_subscripts(string_split(txt, {NL}), 1) i,
+        unnest(string_split(txt, {NL})) x from fb""",
+    "ub": f"""select pair_id, string_agg(x || repeat(' ', cast(n - 1 as int)), {NL} order by i) txt from (
+        select *, row_number() over (partition by pair_id, trim(x, {WS}) order by i) n from fl) group by pair_id""",
+    "ready": "select ub.pair_id, ub.txt before, fa.txt after from ub join fa on ub.pair_id = fa.pair_id",
+}
+_DATASET = """select r.pair_id, before, after, lines_with_vul, lines_after_fix
+    from ready r join targets t on r.pair_id = t.pair_id"""
+
+
+def _location_sql() -> str:
+    return sql(
+        f"""select pair_id, 'function:' || {NL} || before || {NL} || 'Instruction:' || {NL} || lines_after_fix
+                || '<eos>' prompt
+            from (select d.pair_id, ltrim(before, {WS}) before, lines_after_fix, l.doc_id is not null test
+                  from ({_DATASET}) d left join labels l on d.pair_id = l.doc_id)
+            qualify test or row_number() over (partition by test,
+                regexp_replace(before || lines_after_fix, '[ \\n\\r\\t]', '', 'g') order by pair_id) = 1""",
+        "pairs", stay="select * from pairs", **_READY, **script_views("ready"))
+
+
 def _train_test_sql() -> str:
     stay = f"""select pair_id, split, before, after from (
             select p.pair_id, case when l.doc_id is null then 'train' else 'test' end split,
@@ -213,15 +271,7 @@ def _train_test_sql() -> str:
         qualify split = 'test' or row_number() over (partition by split,
             regexp_replace(before || after, '[ \\n\\r\\t]', '', 'g') order by pair_id) = 1"""
     return sql("select r.pair_id, inputs, outputs, split from records r join stay s on r.pair_id = s.pair_id",
-               "pairs", stay=stay, fb=_folded("select pair_id, before from stay", "before"),
-               fa=_folded("select pair_id, after from stay", "after"),
-               fl=f"""select pair_id, generate_subscripts(string_split(txt, {NL}), 1) i,
-                      unnest(string_split(txt, {NL})) x from fb""",
-               ub=f"""select pair_id, string_agg(x || repeat(' ', cast(n - 1 as int)), {NL} order by i) txt from (
-                      select *, row_number() over (partition by pair_id, trim(x, {WS}) order by i) n from fl)
-                      group by pair_id""",
-               ready="""select ub.pair_id, ub.txt before, fa.txt after from ub join fa on ub.pair_id = fa.pair_id""",
-               **script_views("ready"))
+               "pairs", stay=stay, **_READY, **script_views("ready"))
 
 
 # Application as joins over exploded tables: lines and locations are unique here,
@@ -258,8 +308,15 @@ _APPLY = {
 }
 
 
-def apply_sql(body: str) -> str:
-    return sql(body, "applied_input", "predicted_edits", "unique_lines", **_APPLY)
+def apply_sql(body: str, *views: str, **extra: str) -> str:
+    return sql(body, "applied_input", "predicted_edits", "unique_lines", *views, **_APPLY, **extra)
+
+
+_CANON = f"""array_to_string(list_filter(list_transform(string_split(%s, {NL}),
+    lambda x: ltrim(x, {WS})), lambda x: x <> ''), {NL})"""
+_JUDGED = f"""select s.pair_id, status, cwe, coalesce(status = 'ok' and {_CANON % "g.generated"} = {_CANON % "p.after"}, false) hit
+    from stat s join pairs p on s.pair_id = p.pair_id left join gen g on s.pair_id = g.pair_id
+    join (select pair_id, regexp_extract(name, 'CWE-[0-9]+') cwe from names) n on s.pair_id = n.pair_id"""
 
 
 ORACLES = {
@@ -286,6 +343,14 @@ ORACLES = {
         "predictions", vocab=_vocab("predictions", "injections"), ids=_ids("predictions", "injections"),
         g="select pair_id, list(token_id order by pos) l from ids group by pair_id"),
     "train_test_build": _train_test_sql(),
+    "location_records": _location_sql(),
+    "dataset_table": sql(_DATASET, "pairs", stay="select * from pairs", **_READY, **script_views("ready")),
+    "generate_and_score": apply_sql(
+        """select count(*) pairs, count(*) filter (where hit) matched,
+            round(avg(case when hit then 1.0 else 0.0 end), 6) accuracy, count(*) filter (where status <> 'ok') problems,
+            count(distinct cwe) filter (where hit) classes from judged""", "pairs", "names", judged=_JUDGED),
+    "exact_match_misses": apply_sql(
+        "select pair_id, status from judged where not hit", "pairs", "names", judged=_JUDGED),
     "split_balanced": sql(
         """select id, target, r as rank, case when r <= m * 8 // 10 then 'train'
                 when r <= m * 9 // 10 then 'val' else 'test' end split
@@ -305,20 +370,19 @@ ORACLES = {
                 select pair_id, string_split(injections, {NL}) l from predictions))""", "predictions"),
     "locations_present": sql(
         f"""select i.pair_id, bool_and(contains(before, trim(loc, {WS}))) present
-            from applied_input i join predicted_edits e on i.pair_id = e.pair_id and loc is not null
+            from applied_input i left join predicted_edits e on i.pair_id = e.pair_id and loc is not null
             group by i.pair_id""", "applied_input", "predicted_edits"),
     "resolve_anchor": apply_sql('select pair_id, at_pos as "at", line inserted from ins'),
     "apply_inserts": apply_sql(
         f"""select pair_id, string_agg(line, {NL} order by pos, k, ord) as text from (
                 select pair_id, pos, 0 k, 0 ord, line from unique_lines
                 union all select pair_id, at_pos, 1, ord, line from ins)
-            where pair_id in (select pair_id from predictions where injections is not null)
             group by pair_id"""),
     "apply_replacements": apply_sql(
         f"""select s.pair_id, string_agg(line, {NL} order by pos) as text,
                 coalesce(any_value(n), 0) n_applied
             from swapped s left join (select pair_id, count(*) n from used group by 1) u on s.pair_id = u.pair_id
-            where s.pair_id in (select pair_id from loc) group by s.pair_id"""),
+            group by s.pair_id"""),
     "assemble_text": sql(
         f"""select pair_id, string_agg(rtrim(x, {WS}), {NL} order by i) as text from (
                 select pair_id, generate_subscripts(l, 1) i, unnest(l) x from (

@@ -53,7 +53,12 @@ _CORPUS = """select d.doc_id, d.text func, coalesce(l.quality, 0) target, d.lang
 
 
 def write_jsonl(spark, sf):
-    return _corpus(spark, sf).select("doc_id", files.json_lines("doc_id", "target", "lang").alias("json"))
+    """Written as JSON lines and read back, rendered with a fixed field order."""
+    path = scratch_path(spark, "jsonl")
+    files.write_jsonl(_corpus(spark, sf).select("doc_id", "target", "lang"), path)
+    back, _ = files.read_jsonl(spark, path, T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("target", T.LongType()), T.StructField("lang", T.StringType())]))
+    return back.select("doc_id", files.json_lines("doc_id", "target", "lang").alias("json"))
 
 
 def write_csv(spark, sf):
@@ -103,7 +108,7 @@ def filter_line_counts(spark, sf):
 
 
 def _scripts(spark, sf):
-    return diff.edit_script(diff.edits_of(X.pairs(spark, sf)))
+    return diff.scripts_of(X.pairs(spark, sf))
 
 
 def filter_edit_size(spark, sf):
@@ -260,9 +265,9 @@ ORACLES = {
         """select pair_id, lines_with_vul, lines_after_fix from targets where n_gone < 30 and n_new < 30"""),
     "size_buckets": script_sql(
         """select pair_id, n changed_words, n < 5 below_5, n < 10 below_10, n < 20 below_20, n < 30 below_30
-           from (select pair_id, cast(coalesce(sum(len(regexp_extract_all(
+           from (select p.pair_id, cast(coalesce(sum(len(regexp_extract_all(
                      array_to_string(value, ' '), '[^ \\t\\n\\x0B\\f\\r]+'))), 0) as bigint) n
-                 from edits group by pair_id)"""),
+                 from pairs p left join edits e on p.pair_id = e.pair_id group by p.pair_id)"""),
     "sample_k": """select doc_id, lang from documents
         order by md5(cast(doc_id as varchar) || '-42'), doc_id limit 100""",
     "apply_filter": f"with c as ({_CORPUS}) select doc_id, source from c where lang = 'en' and target = 1",

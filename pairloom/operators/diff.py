@@ -278,7 +278,7 @@ def edits_of(pairs: DataFrame, key: str = "strip", drop_blank: bool = True) -> D
 
 
 def edit_script(edits: DataFrame) -> DataFrame:
-    """(pair_id, script): the edits of a pair in text order."""
+    """(pair_id, script): the edits of a pair in text order, for pairs that have any."""
     ordered = F.sort_array(F.collect_list(F.struct("gap", "idx", "kind", "key", "value")))
     return (edits.groupBy("pair_id").agg(ordered.alias("_s"))
             .select("pair_id", F.transform("_s", lambda e, n: F.struct(
@@ -286,6 +286,14 @@ def edit_script(edits: DataFrame) -> DataFrame:
                 e["value"].alias("value"))).alias("script")))
 
 
+def scripts_of(pairs: DataFrame, key: str = "strip", drop_blank: bool = True) -> DataFrame:
+    """(pair_id, script) for every complete pair; the script of a pair without an edit is empty."""
+    none = F.array().cast("array<struct<ord:int,kind:string,key:string,value:array<string>>>")
+    ids = pairs.where(F.col("before").isNotNull() & F.col("after").isNotNull()).select("pair_id")
+    return (ids.join(edit_script(edits_of(pairs, key, drop_blank)), "pair_id", "left")
+            .select("pair_id", F.coalesce("script", none).alias("script")))
+
+
 def location_lines(script: Column) -> Column:
     """Replaced and removed lines, in wire form (each behind one pad blank)."""
     touched = F.filter(script, lambda e: e["kind"] != "insert")
@@ -333,12 +341,14 @@ def edit_stats(scripts: DataFrame, max_lines: int = S.MAX_EDIT_LINES) -> DataFra
 
 
 def contiguous_locations(pairs: DataFrame, locations: str = "locations") -> DataFrame:
-    """Pairs whose first location line is found, with ``contiguous``: do the
-    locations stand as one block from there?  Reaching the function end is a yes."""
+    """(pair_id, contiguous): do the location lines stand as one block from the first?
+
+    Reaching the function end is a yes; without locations, or if the first is not
+    found, the answer is NULL."""
     keys = lambda c: F.transform(X.lines(F.col(c)), X.strip)
     start = F.array_position("_f", F.get("_l", F.lit(0))).cast("int")
     n = F.least(F.size("_l"), F.size("_f") - F.col("_at") + 1)
     block = F.slice("_f", F.col("_at"), n) == F.slice("_l", F.lit(1), n)
     return (pairs.select("pair_id", keys("before").alias("_f"), keys(locations).alias("_l"))
-            .withColumn("_at", start).where(F.col("_at") > 0)
-            .select("pair_id", block.alias("contiguous")))
+            .withColumn("_at", start)
+            .select("pair_id", F.when(F.col("_at") > 0, block).alias("contiguous")))

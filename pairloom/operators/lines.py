@@ -2,39 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom.functions import text as X
 
 
-def explode_lines(df: DataFrame, text: str, row_id: str = "pair_id") -> DataFrame:
+def explode_lines(df: DataFrame, text: str, row_id: str = "pair_id", keep: Sequence[str] = ()) -> DataFrame:
     """(row_id, pos, line).  Repartition ``df`` by the id first if windows follow:
     moving whole texts is cheaper than moving lines, and the partitioning holds
-    through the explode."""
-    return df.select(row_id, F.posexplode(X.lines(F.col(text))).alias("pos", "line"))
+    through the explode.  Columns of ``keep`` ride on the first line of each text."""
+    rows = df.select(row_id, *keep, F.posexplode(X.lines(F.col(text))).alias("pos", "line"))
+    return rows.withColumns({c: F.when(F.col("pos") == 0, F.col(c)) for c in keep}) if keep else rows
 
 
-def unique_lines(df: DataFrame, text: str, row_id: str = "pair_id") -> DataFrame:
+def unique_lines(df: DataFrame, text: str, row_id: str = "pair_id", keep: Sequence[str] = ()) -> DataFrame:
     """Lines after the n-th repeat of a stripped line has got n trailing blanks.
 
     One shuffle, of the texts by id; the window inherits it.
     """
-    lines = explode_lines(df.repartition(row_id), text, row_id)
+    lines = explode_lines(df.repartition(row_id), text, row_id, keep)
     same = Window.partitionBy(row_id, X.strip(F.col("line"))).orderBy("pos")
     repeat = F.row_number().over(same) - 1
     return lines.withColumn("line", F.concat("line", F.repeat(F.lit(" "), repeat)))
 
 
-def assemble(lines: DataFrame, row_id: str = "pair_id", out: str = "text") -> DataFrame:
-    """Lines back to one text per id, in order of ``pos``."""
+def assemble(lines: DataFrame, row_id: str = "pair_id", out: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Lines back to one text per id, in order of ``pos``, with the columns that rode along."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    return (lines.groupBy(row_id).agg(ordered.alias("_l"))
-            .select(row_id, F.array_join(F.col("_l.line"), "\n").alias(out)))
+    return (lines.groupBy(row_id).agg(ordered.alias("_l"), *[F.first(c, ignorenulls=True).alias(c) for c in keep])
+            .select(row_id, F.array_join(F.col("_l.line"), "\n").alias(out), *keep))
 
 
-def uniquify_lines(df: DataFrame, text: str, row_id: str = "pair_id") -> DataFrame:
-    """(row_id, text) with no two lines equal."""
-    return assemble(unique_lines(df, text, row_id), row_id, text)
+def uniquify_lines(df: DataFrame, text: str, row_id: str = "pair_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, text, keep...) with no two lines equal; no join brings the kept columns back."""
+    return assemble(unique_lines(df, text, row_id, keep), row_id, text, keep)
 
 
 # The reserved words of C, which keep their spelling.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom import schema as S
 from pairloom.functions import text as X
+from pairloom.functions import wire
 from pairloom.operators import apply as A
 from pairloom.operators import dedup, diff, lines, metrics, tables
+from pairloom.session import durable
 
 
 def folded(pairs: DataFrame) -> DataFrame:
@@ -15,8 +17,8 @@ def folded(pairs: DataFrame) -> DataFrame:
 
 
 def with_unique_before(pairs: DataFrame) -> DataFrame:
-    unique = lines.uniquify_lines(pairs.select("pair_id", "before"), "before")
-    return pairs.drop("before").join(unique, "pair_id")
+    rest = [c for c in pairs.columns if c not in ("pair_id", "before")]
+    return lines.uniquify_lines(pairs, "before", keep=rest)
 
 
 def prepared_pairs(pairs: DataFrame) -> DataFrame:
@@ -27,35 +29,58 @@ def prepared_pairs(pairs: DataFrame) -> DataFrame:
 def dataset_table(pairs: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Pairs with their two target columns; pairs with ``max_lines`` changed lines or more are dropped.
 
-    A pair without any edit keeps two empty targets.
+    A pair without any edit keeps two empty targets.  The prepared pairs are stored once, since
+    the diff and the table both read them.
     """
-    ready = prepared_pairs(pairs)
-    script = diff.edit_script(diff.edits_of(ready))
-    targets = diff.location_targets(script, max_lines).withColumn("_edited", F.lit(True))
-    out = ready.join(targets, "pair_id", "left")
-    for c in ("lines_with_vul", "lines_after_fix"):
-        out = out.withColumn(c, F.when(F.col("_edited").isNull(), F.lit("")).otherwise(F.col(c)))
-    return tables.drop_missing(out.drop("_edited"), "lines_with_vul", "lines_after_fix")
+    ready = durable(prepared_pairs(pairs))
+    targets = diff.location_targets(diff.scripts_of(ready), max_lines)
+    return tables.drop_missing(ready.join(targets, "pair_id"), "lines_with_vul", "lines_after_fix")
 
 
-def build_records(pairs: DataFrame, excluded: DataFrame | None = None, dedup_rows: bool = True,
-                  unique_before: bool = True) -> DataFrame:
-    """(pair_id, before, after, inputs, outputs) for one split: fill, exclude, dedup, diff, encode.
+def build_records(pairs: DataFrame, excluded: DataFrame | None = None, dedup_rows: bool | Column = True,
+                  unique_before: bool = True, strip: bool = True) -> DataFrame:
+    """(pair_id, before, after, inputs, outputs): fill, exclude, dedup, diff, encode.
 
-    Train sets pass ``dedup_rows=True``, test sets False.
+    ``dedup_rows`` says which rows are deduplicated among themselves: train rows are, test rows
+    are not.  As a column it builds both splits in one pass.  ``strip`` takes white space off the
+    head of the text.  The prepared pairs are stored once; diff and records both read them.
     """
-    rows = tables.fill_missing(pairs.select("pair_id", "before", "after"), "before", "after")
-    rows = rows.withColumn("before", X.lstrip(F.col("before")))
+    rows = tables.fill_missing(pairs, "before", "after")
+    if strip:
+        rows = rows.withColumn("before", X.lstrip(F.col("before")))
     if excluded is not None:
         rows = tables.exclude_rows(rows, excluded)
-    if dedup_rows:
-        rows = dedup.keep_first(rows, X.fingerprint(F.col("before"), F.col("after")))
+    rows = _deduplicated(rows, dedup_rows, "before", "after").select("pair_id", "before", "after")
     rows = folded(rows)
-    if unique_before:
-        rows = with_unique_before(rows)
+    rows = durable(with_unique_before(rows) if unique_before else rows)
     return diff.injection_records(rows, diff.edit_script(diff.edits_of(rows)))
 
 
+def _deduplicated(rows: DataFrame, which: bool | Column, *texts: str) -> DataFrame:
+    """Keep the first of equal rows; a row for which ``which`` is not true has no key and stays."""
+    if which is False:
+        return rows
+    key = X.fingerprint(*[F.col(c) for c in texts])
+    return dedup.keep_first(rows, key if which is True else F.when(which, key))
+
+
+def location_records(pairs: DataFrame, excluded: DataFrame | None = None, dedup_rows: bool | Column = True,
+                     with_spaces: bool = True, eos: str = "") -> DataFrame:
+    """(pair_id, prompt) that teaches to name the lines to change: fill, exclude, dedup, prompt.
+
+    ``pairs`` has ``before`` and ``lines_after_fix`` (see ``dataset_table``).  Without
+    ``with_spaces`` the target is stripped and loses the white space behind its line breaks.
+    """
+    rows = tables.fill_missing(pairs, "before", "lines_after_fix")
+    rows = rows.withColumn("before", X.lstrip(F.col("before")))
+    if not with_spaces:
+        rows = rows.withColumn("lines_after_fix", X.collapse_indent(F.col("lines_after_fix")))
+    if excluded is not None:
+        rows = tables.exclude_rows(rows, excluded)
+    rows = _deduplicated(rows, dedup_rows, "before", "lines_after_fix")
+    return rows.select("pair_id", wire.prompt(F.col("before"), F.col("lines_after_fix"), eos).alias("prompt"))
+
+
 def generate(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Join predictions by id and apply them; see ``apply.apply_edits``."""
     return A.apply_edits(tables.join_predictions(pairs, predictions))
@@ -69,10 +94,15 @@ def score(generated: DataFrame, truth: str = "after") -> DataFrame:
         metrics.share(match).alias("accuracy"), F.count_if(A.problem()).alias("problems"))
 
 
+def misses(generated: DataFrame, truth: str = "after") -> DataFrame:
+    """Rows whose generated text is not the true one; a row without a result is a miss."""
+    return generated.where(~metrics.canonical_match(F.col("generated"), F.col(truth)))
+
+
 def round_trip(pairs: DataFrame) -> DataFrame:
     """(pair_id, generated, status, same): apply the script of a pair to its own
     before text.  A pair without an edit has nothing to apply and stays as it is."""
-    ready = with_unique_before(pairs.select("pair_id", "before", "after"))
+    ready = durable(with_unique_before(pairs.select("pair_id", "before", "after")))
     records = diff.injection_records(ready, diff.edit_script(diff.edits_of(ready)))
     edited = F.col("outputs") != ""
     done = A.apply_edits(records.select(

@@ -151,7 +151,7 @@ def test_contiguous_locations(spark):
         (1, "a\nb\nc", "b\nc"), (2, "a\nb\nc", "a\nc"), (3, "a\nb", "b\nz"),
         (4, "a", "q"), (5, " a \nb", "a\n b")], "pair_id long, before string, locations string")
     got = dict(D.contiguous_locations(df).collect())
-    assert got == {1: True, 2: False, 3: True, 5: True}
+    assert got == {1: True, 2: False, 3: True, 4: None, 5: True}
 
 
 def test_one_exchange_for_the_whole_script(spark, pair_table, tmp_path):
@@ -165,3 +165,14 @@ def test_places(spark):
     df = spark.createDataFrame([(4, [2, 0]), (0, []), (2, [])], "n int, at array<int>")
     got = [r[0] for r in df.select(places(F.col("n"), F.col("at"))).collect()]
     assert got == [[2, 0, 1, 0], None, [0, 0]]
+
+
+def test_pairs_without_an_edit_stay(spark):
+    df = spark.createDataFrame([
+        (1, "a\nb", "a\nb"), (2, "", ""), (3, "a", "b"), (4, None, "x"), (5, " a", "a")],
+        "pair_id long, before string, after string")
+    scripts = D.scripts_of(df)
+    assert {r.pair_id: len(r.script) for r in scripts.collect()} == {1: 0, 2: 0, 3: 1, 5: 0}
+    targets = {r.pair_id: (r.lines_with_vul, r.lines_after_fix) for r in D.location_targets(scripts).collect()}
+    assert targets == {1: ("", ""), 2: ("", ""), 3: (" b", " a"), 5: ("", "")}
+    assert D.edit_stats(scripts).first().pairs == 4

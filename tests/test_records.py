@@ -115,3 +115,24 @@ def test_generate_and_score(spark, pair_table):
     preds = spark.createDataFrame([(0, "b", "c"), (1, "b", "c")], S.PREDICTIONS)
     r = datasets.score(datasets.generate(p, preds)).first()
     assert (r.pairs, r.matched, r.problems) == (3, 1, 1)
+
+
+def test_dataset_table_and_location_records(spark):
+    from pyspark.sql import functions as F
+    from pairloom.plans import datasets
+
+    long = "\n".join(f"l{i}" for i in range(40))
+    pairs = spark.createDataFrame([
+        (1, "  a\nb", "  a\nc"), (2, long, long.replace("l", "m")), (3, "x", "x"), (4, None, "x"), (5, "  a\nb", "  a\nc")],
+        "pair_id long, before string, after string")
+    table = datasets.dataset_table(pairs)
+    assert sorted(r.pair_id for r in table.collect()) == [1, 2, 3, 5]
+    assert sorted(r.pair_id for r in datasets.dataset_table(pairs, max_lines=15).collect()) == [1, 3, 5]
+    prompts = lambda **k: {r.pair_id: r.prompt for r in datasets.location_records(table, **k).collect()}
+    assert sorted(prompts()) == [1, 2, 3]
+    assert sorted(prompts(dedup_rows=False)) == [1, 2, 3, 5]
+    assert sorted(prompts(dedup_rows=F.col("pair_id") > 2)) == [1, 2, 3, 5]
+    assert prompts()[1].endswith("Instruction:\n b") and prompts(with_spaces=False)[1].endswith("Instruction:\nb")
+    assert prompts()[1].startswith("function:\na\n")
+    some = spark.createDataFrame([(1,)], "pair_id long")
+    assert sorted(prompts(excluded=some)) == [2, 3, 5]
