@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.fixtures import NL, WS, sql
 from pairloom.functions import text as C
-from pairloom.operators import learn, metrics as M, ranking as R, records
+from pairloom.operators import learn, metrics as M, ranking as R, records, tables
 
 _rounded = lambda df: df.select(*[
     F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -107,8 +107,8 @@ QUERIES = {
     "recall_by_pred_prob": lambda s, d: _rounded(R.recall_by_probability(X.scored_rows(s, d))),
     "longest_first": lambda s, d: R.longest_first(X.functions(s, d).select(
         "pair_id", records.token_count(F.col("before")).cast("long").alias("n_tokens")), "n_tokens"),
-    "first_of_group": lambda s, d: X.table(s, d, "documents").groupBy("source", "lang").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars")),
+    "first_of_group": lambda s, d: tables.first_of_group(
+        X.table(s, d, "documents").select("source", "lang", "doc_id", "n_chars"), "doc_id", "source", "lang"),
     "compare_variants": lambda s, d: _rounded(compare_variants(s, d)),
     "bow_forest": bow_forest,
     "token_embeddings": lambda s, d: learn.token_embeddings(X.functions(s, d), "before", "pair_id"),

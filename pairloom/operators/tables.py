@@ -52,6 +52,16 @@ def apply_filter(df: DataFrame, select: Column) -> DataFrame:
     return df.where(select)
 
 
+def first_of_group(df: DataFrame, order: str, *keys: str) -> DataFrame:
+    """The row with the smallest ``order``, a unique column, of every group.
+
+    An aggregate combined in each task, so a hot group is one row per task in the shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+            .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]))
+
+
 def exclude_rows(df: DataFrame, excluded: DataFrame, key: str = "pair_id") -> DataFrame:
     """Anti-join on the key table.  Its size decides the join strategy at run time."""
     return df.join(excluded.select(key), key, "left_anti")
