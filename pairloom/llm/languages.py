@@ -155,6 +155,8 @@ def _trust(rows: DataFrame, model: Model) -> np.ndarray:
     """How much better than chance each bit is for each language, as weights of mean 1."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     at = {x: i for i, x in enumerate(model.names)}
+    # A lang whose texts hold no letter has no counts and so no name.
+    rows = rows.where(F.col("_lang").isin(list(model.names)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -209,7 +211,8 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     """Language of every row, learned from rows outside the held-out fold.
 
     Columns: doc_id, held_out, lang_pred, score, ambiguous; one row for each row of ``docs``.
-    Rows with a null id, text or language are not learned from.  With nothing to learn from
+    Rows with a null id, text or language are not learned from, nor is a language without a
+    text that holds a letter.  With nothing to learn from
     every text is ``und``; with one language every text with a letter is in it, at score 1.
     Repeated rows get equal results, an empty table an empty one.
     """

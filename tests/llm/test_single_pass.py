@@ -170,6 +170,13 @@ def test_languages_with_little_to_learn(spark):
     assert languages.identify(docs(spark, [])).collect() == []
 
 
+def test_languages_of_a_lang_without_letters(spark):
+    rows = [(i, SAMPLES[k] * (1 + i % 3), k, "s") for i in range(40) for k in [list(SAMPLES)[i % 3]]]
+    rows += [(900 + i, t, "und", "s") for i, t in enumerate(("", "12 34", "?!", "5"))]
+    got = {r.doc_id: r.lang_pred for r in languages.identify(docs(spark, rows)).collect()}
+    assert got == {i: k if i < 900 else "und" for i, _, k, _ in rows}
+
+
 def test_codewords_part_all_languages():
     for n in (1, 2, 3, 4, 5, 9, 40):
         code = languages.codewords(n)
