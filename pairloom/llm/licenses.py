@@ -1,14 +1,18 @@
 """License scan by conditional compression.
 
-A block of text that may hold a notice is compressed with each template as a raw zstandard
-dictionary.  The template that saves the most bytes against compression without one is the
-candidate; it is confirmed by the exact words in which block and template differ.
+The words around each cue are cut into blocks of bounded length, which overlap by more than a
+notice.  A block is compressed with each template as a raw zstandard dictionary, which ranks the
+templates by the share of their own saving that they reach.  A notice is confirmed by the exact
+words in which template and nearest stretch of the block differ, whatever stands around it and
+however little it saves; without a confirmed one the ranking gives an unconfirmed candidate.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -44,13 +48,12 @@ TEMPLATES: dict[str, str] = {
         "documentation files"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Words of which a line must hold one to be a block.
+#: Words around which blocks are cut.
 CUES = r"(?i)licen[sc]|copyright|permission is hereby|permission to use|redistribution and use|free software"
-#: A winner saves at least this share of the block's own compressed size over its frame.
+#: An unconfirmed candidate saves at least this share of what it saves on its own wording.
 LEAST_SAVING = 0.3
-#: A winner is confirmed if at most this share of the template's words is missing or changed.
+#: A notice is confirmed if at most this share of the template's words is missing or changed.
 MOST_CHANGED = 0.2
-#: Bytes of a frame of its own: what an empty block compresses to.
 LEVEL = 9
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -66,23 +69,27 @@ class Scanner:
 
     def __init__(self, templates: Mapping[str, str]):
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.frame = len(self.plain.compress(b""))
-        self.by_name = {
-            name: (zstandard.ZstdCompressor(
+        self.by_name, self.raw, self.gain = {}, {}, {}
+        for name, text in sorted(templates.items()):
+            words = words_of(text)
+            whole = " ".join(words).encode("utf-8", "surrogatepass")
+            packer = zstandard.ZstdCompressor(
                 level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
-                dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)),
-                words_of(text)) for name, text in sorted(templates.items())}
-
-    def ranked(self, block: bytes) -> list[tuple[float, str]]:
-        """Templates by the share of compressed bytes that they save, best first."""
-        own = len(self.plain.compress(block)) - self.frame
-        saved = [((own - len(c.compress(block)) + self.frame) / own if own else 0.0, name)
-                 for name, (c, _) in self.by_name.items()]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
+                dict_data=zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            self.by_name[name], self.raw[name] = (packer, words), words_of(text)
+            self.gain[name] = max(1, len(self.plain.compress(whole)) - len(packer.compress(whole)))
+        #: Words that a confirmed notice spans at most.
+        self.reach = max((int(len(w) * (1 + MOST_CHANGED)) for _, w in self.by_name.values()), default=0) + 4
+
+    def ranked(self, words: list[str]) -> list[tuple[float, str]]:
+        """Templates by the share of their own saving that they reach on the block, best first."""
+        block = " ".join(words).encode("utf-8", "surrogatepass")
+        own = len(self.plain.compress(block))
+        return sorted(((own - len(c.compress(block))) / self.gain[name], name) for name, (c, _) in self.by_name.items())[::-1]
 
     def differences(self, name: str, words: list[str]) -> list[str]:
         """Template words that the block lacks, and words it has inside the matched stretch instead."""
-        wanted = self.by_name[name][1]
+        wanted = self.raw[name]
         blocks = [m for m in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
         if not blocks:
             return [f"-{w}" for w in wanted]
@@ -92,60 +99,110 @@ class Scanner:
         return ([f"-{w}" for i, w in enumerate(wanted) if i not in kept]
                 + [f"+{words[i]}" for i in range(first, last) if i not in used])
 
-    def scan(self, block: str) -> tuple[str, float, list[str], bool] | None:
-        """Winner, saving, differences, and whether they confirm it; None if no template saves enough.
+    def stretches(self, name: str, words: list[str]) -> list[tuple[int, int]]:
+        """Stretches of the block, from and to, that the words confirm; the nearest first, none overlap.
 
-        All templates within a tenth of the best saving are compared word by word; the one
-        with the fewest differences wins, then the larger saving, then the longer wording.
+        Missing and added words are counted over all alignments of the whole template with a
+        stretch, so words outside of it never count.
         """
-        order = self.ranked(block.encode("utf-8", "surrogatepass"))
-        if not order or order[0][0] < LEAST_SAVING:
-            return None
-        words = words_of(block)
-        close = [(x, name, self.differences(name, words)) for x, name in order if x >= order[0][0] - 0.1]
-        saving, name, changed = min(close, key=lambda x: (len(x[2]), -x[0], -len(self.by_name[x[1]][1]), x[1]))
-        return name, saving, changed, len(changed) <= MOST_CHANGED * len(self.by_name[name][1])
-
-
-def blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cues: str = CUES) -> DataFrame:
-    """Lines of whole texts that hold a cue: _row, _id, line (from 0), block."""
-    return (docs.select("_row", F.col(doc_id).cast("long").alias("_id"),
-                        F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "block"))
-            .where(F.col("block").rlike(cues)))
+        wanted = self.by_name[name][1]
+        most = MOST_CHANGED * len(wanted)
+        if sum((Counter(wanted) - Counter(words)).values()) > most:
+            return []
+        missing = [1] * len(wanted)
+        column = [(0, 0)]
+        for cost in missing:
+            column.append((column[-1][0] + cost, 0))
+        found = []
+        for j, word in enumerate(words):
+            added = 1
+            new = [(0, -(j + 1))]
+            for i, w in enumerate(wanted):
+                new.append(min((new[i][0] + missing[i], new[i][1]), (column[i + 1][0] + added, column[i + 1][1]),
+                               *([column[i]] if w == word else [])))
+            column = new
+            if column[-1][0] <= most:
+                found.append((column[-1][0], -column[-1][1], j + 1))
+        kept: list[tuple[int, int]] = []
+        for _, a, b in sorted(found):
+            if all(b <= x or y <= a for x, y in kept):
+                kept.append((a, b))
+        return kept
+
+    def notices(self, text: str) -> list[tuple[int, str, float, list[str], bool]]:
+        """Line, license, saving, differences and whether they confirm it, of each notice of a text.
+
+        A confirmed notice within a longer one is part of it.  A block without a confirmed one
+        gives the candidate with the fewest differences within a tenth of the best saving.
+        """
+        places = list(_WORD.finditer(text))
+        raw = [m[0].lower() for m in places]
+        words, at = raw, range(len(raw))
+        starts = [0]
+        for word in words:
+            starts.append(starts[-1] + len(word) + 1)
+        cues = sorted({bisect(starts, m.start()) - 1 for m in re.finditer(CUES, " ".join(words))})
+        breaks = [i for i, c in enumerate(text) if c == "\n"]
+        line = lambda i: bisect(breaks, places[at[i]].start())
+        ranges: list[list[int]] = []
+        for i in cues:
+            a, b = max(0, i - self.reach), min(len(words), i + self.reach + 1)
+            if ranges and a <= ranges[-1][1]:
+                ranges[-1][1] = b
+            else:
+                ranges.append([a, b])
+        sure, weak = {}, []
+        for low, high in ranges:
+            for a in range(low, max(low + 1, high - self.reach), 2 * self.reach):
+                b = min(high, a + 3 * self.reach)
+                order = self.ranked(words[a:b])
+                near = [(x, name) for x, name in order if x >= LEAST_SAVING]
+                spans = [(a + c, a + d, name, x) for x, name in order for c, d in self.stretches(name, words[a:b])]
+                sure.update({(c, d, name): x for c, d, name, x in spans})
+                if near and not spans:
+                    here = raw[at[a]:at[b - 1] + 1]
+                    close = [(x, name, self.differences(name, here)) for x, name in near if x >= near[0][0] - 0.1]
+                    x, name, changed = min(close, key=lambda c: (len(c[2]), -c[0], -len(self.raw[c[1]]), c[1]))
+                    weak.append((line(next(i for i in cues if i >= a)), name, x, changed, False))
+        # Blocks overlap: of one template's stretches that do, the longest stays.
+        kept: list[tuple[int, int, str]] = []
+        for c, d, name in sorted(sure, key=lambda k: (k[0] - k[1], k)):
+            if not any((x < d and c < y) if n == name else (x <= c and d <= y) for x, y, n in kept):
+                kept.append((c, d, name))
+        return [(line(c), name, sure[c, d, name], self.differences(name, raw[at[c]:at[d - 1] + 1]), True)
+                for c, d, name in sorted(kept)] + weak
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Confirmed and unconfirmed notices, one row per line that a template explains.
+    """Confirmed and unconfirmed notices, one row each.
 
-    Columns: _row, doc_id, line, license, saving, differences, confirmed.  The different
-    wordings of the lines are judged once each and joined back: a notice on a third of all
-    rows is compressed once.  Null and empty texts have no line with a cue.  Repeated rows are
-    found again.  Without templates nothing is found.
+    Columns: _row, doc_id, line (from 0, where it begins), license, saving, differences,
+    confirmed.  Null and empty texts have no cue.  Repeated rows are found again.  Without
+    templates nothing is found.
     """
-    found = blocks(docs, text, doc_id)
+    found = docs.where(F.col(text).rlike(CUES)).select(
+        "_row", F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
-            rows = [(b, *r) for b in batch.column("block").to_pylist() if (r := scanner.scan(b))]
-            block, name, saving, changed, sure = zip(*rows) if rows else ([],) * 5
+            rows = [(r, i, *n) for r, i, t in zip(*(batch.column(c).to_pylist() for c in ("_row", "_id", "_text")))
+                    for k, part in enumerate(t.split("\n")) for n in ((k, *x[1:]) for x in scanner.notices(part)[:1])]
+            row, id_, line, name, saving, changed, sure = zip(*rows) if rows else ([],) * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block, pa.string()), pa.array(name, pa.string()), pa.array(saving, pa.float64()),
-                 pa.array(changed, pa.list_(pa.string())), pa.array(sure, pa.bool_())],
-                names=["block", "license", "saving", "differences", "confirmed"])
+                [pa.array(row, pa.int64()), pa.array(id_, pa.int64()), pa.array(line, pa.int32()), pa.array(name, pa.string()),
+                 pa.array(saving, pa.float64()), pa.array(changed, pa.list_(pa.string())), pa.array(sure, pa.bool_())],
+                names=["_row", "doc_id", "line", "license", "saving", "differences", "confirmed"])
 
-    found = durable(found)
-    judged = found.select("block").distinct().mapInArrow(
-        judge, "block string, license string, saving double, differences array<string>, confirmed boolean")
-    return (found.join(durable(judged), "block")
-            .select("_row", F.col("_id").alias("doc_id"), "line", "license", "saving", "differences", "confirmed"))
+    return found.mapInArrow(judge, "_row long, doc_id long, line int, license string, saving double, "
+                                   "differences array<string>, confirmed boolean")
 
 
 def document_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text: str = "text",
                       doc_id: str = "doc_id") -> DataFrame:
     """Confirmed licenses of every row of ``docs``.
 
-    Columns: doc_id, n_notices (confirmed lines), licenses (sorted, comma-joined, "" without
+    Columns: doc_id, n_notices (confirmed ones), licenses (sorted, comma-joined, "" without
     any), exact (all confirmed notices have the template's very words; null without any).
     """
     rows = durable(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("_id"),

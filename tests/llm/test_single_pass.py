@@ -122,6 +122,18 @@ def test_licenses_by_compression_and_wording(spark):
     assert licenses.document_licenses(docs(spark, [])).collect() == []
 
 
+def licenses_of(spark, texts):
+    rows = licenses.document_licenses(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    return [(r.licenses, r.n_notices, r.exact) for r in rows]
+
+
+def test_licenses_within_other_text(spark):
+    names = sorted(licenses.TEMPLATES)
+    around = "people walk along the river and look at old bridges in the summer "
+    texts = [around * a + licenses.TEMPLATES[x] + " " + around * b for x in names for a, b in ((0, 1), (1, 0), (40, 40))]
+    assert licenses_of(spark, texts) == [(x, 1, True) for x in names for _ in range(3)]
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     tokenizers, tables = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = tables.path("byte_bpe_50k.json")
