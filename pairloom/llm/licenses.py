@@ -48,8 +48,10 @@ TEMPLATES: dict[str, str] = {
         "documentation files"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Words around which blocks are cut.
-CUES = r"(?i)licen[sc]|copyright|permission is hereby|permission to use|redistribution and use|free software"
+#: Words around which blocks are cut.  Line breaks and comment marks may stand between them.
+_GAP = r"(?:[\W_]|\b(?:rem|dnl)\b)+"
+CUES = ("(?i)licen[sc]|copyright|permission is hereby|permission to use|redistribution and use|free software"
+        .replace(" ", _GAP))
 #: An unconfirmed candidate saves at least this share of what it saves on its own wording.
 LEAST_SAVING = 0.3
 #: A notice is confirmed if at most this share of the template's words is missing or changed.
@@ -59,6 +61,10 @@ LEVEL = 9
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+#: Comment marks that are words themselves.
+_MARK = re.compile(r"(?im)^[^\w\n]*(?:rem|dnl)\b")
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case; dots and dashes inside a word are part of it."""
     return _WORD.findall(text.lower())
@@ -135,7 +141,7 @@ class Scanner:
         A confirmed notice within a longer one is part of it.  A block without a confirmed one
         gives the candidate with the fewest differences within a tenth of the best saving.
         """
-        places = list(_WORD.finditer(text))
+        places = list(_WORD.finditer(_MARK.sub(lambda m: " " * len(m[0]), text)))
         raw = [m[0].lower() for m in places]
         words, at = raw, range(len(raw))
         starts = [0]
@@ -187,7 +193,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text: str =
         scanner = Scanner(templates)
         for batch in batches:
             rows = [(r, i, *n) for r, i, t in zip(*(batch.column(c).to_pylist() for c in ("_row", "_id", "_text")))
-                    for k, part in enumerate(t.split("\n")) for n in ((k, *x[1:]) for x in scanner.notices(part)[:1])]
+                    for n in scanner.notices(t)]
             row, id_, line, name, saving, changed, sure = zip(*rows) if rows else ([],) * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row, pa.int64()), pa.array(id_, pa.int64()), pa.array(line, pa.int32()), pa.array(name, pa.string()),

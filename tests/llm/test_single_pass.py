@@ -1,5 +1,7 @@
 """Shards, mixture, search, url filter, licenses, token counts and languages."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +136,15 @@ def test_licenses_within_other_text(spark):
     assert licenses_of(spark, texts) == [(x, 1, True) for x in names for _ in range(3)]
 
 
+def test_licenses_over_several_lines(spark):
+    names = sorted(licenses.TEMPLATES)
+    wraps = [(mark, width) for mark in (" * ", "# ", "REM ", "// ") for width in (24, 80)]
+    texts = ["\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[n], width, break_long_words=False, break_on_hyphens=False)) for n in names for mark, width in wraps]
+    assert licenses_of(spark, texts) == [(n, 1, True) for n in names for _ in wraps]
+    two = "Released under the MIT License. Pictures: Licensed under CC BY-SA 4.0."
+    assert licenses_of(spark, [two, two + "\n" + two]) == [("CC-BY-SA-4.0,MIT", 2, True), ("CC-BY-SA-4.0,MIT", 4, True)]
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     tokenizers, tables = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = tables.path("byte_bpe_50k.json")
