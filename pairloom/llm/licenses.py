@@ -57,6 +57,12 @@ LEAST_SAVING = 0.3
 #: A notice is confirmed if at most this share of the template's words is missing or changed.
 MOST_CHANGED = 0.2
 LEVEL = 9
+#: Names that tell licenses apart: one that is missing or in between makes it another license.  So do versions.
+NAMES = frozenset((
+    "gnu lgpl agpl fdl lesser affero apache mozilla eclipse mit cc nc sa nd noncommercial sharealike noderivatives "
+    "noderivs documentation modified clause").split())
+#: What such a difference counts: more than any share of a template allows.
+OTHER = 1000
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -70,6 +76,33 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+_VERSION = re.compile(r"\d{1,2}(?:\.\d+)*")
+
+
+def compared(word: str) -> list[str]:
+    """A word as it is compared: v3 is version 3, 2.0 is 2, and cc-by is cc by."""
+    if word[0] == "v" and (word in ("v", "ver") or _VERSION.fullmatch(word[1:])):
+        return ["version", *compared(word[1:])] if word[1:2].isdigit() else ["version"]
+    if word[:3] in ("cc-", "by-"):
+        return [y for x in word.split("-") if x for y in compared(x)]
+    return [re.sub(r"(?:\.0+)+$", "", word)] if _VERSION.fullmatch(word) else [word]
+
+
+def marks_of(word: str) -> set[str]:
+    """What in a word tells licenses apart: names and versions."""
+    return {compared(x)[0] for x in word.split("-") if x in NAMES or _VERSION.fullmatch(x)}
+
+
+def costs_of(words: list[str]) -> list[int]:
+    """What it counts if a word of a template is missing; a name or version once is enough."""
+    seen, costs = set(), []
+    for i, word in enumerate(words):
+        new = (marks_of(word) | ({"by"} if word == "by" and words[i - 1:i] == ["cc"] else set())) - seen
+        costs.append(OTHER if new else 1)
+        seen |= new
+    return costs
+
+
 class Scanner:
     """Compressors with each template as dictionary, and the templates' words."""
 
@@ -77,7 +110,7 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.by_name, self.raw, self.gain = {}, {}, {}
         for name, text in sorted(templates.items()):
-            words = words_of(text)
+            words = [y for w in words_of(text) for y in compared(w)]
             whole = " ".join(words).encode("utf-8", "surrogatepass")
             packer = zstandard.ZstdCompressor(
                 level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
@@ -86,6 +119,8 @@ class Scanner:
             self.gain[name] = max(1, len(self.plain.compress(whole)) - len(packer.compress(whole)))
         #: Words that a confirmed notice spans at most.
         self.reach = max((int(len(w) * (1 + MOST_CHANGED)) for _, w in self.by_name.values()), default=0) + 4
+        self.missing = {name: costs_of(w) for name, (_, w) in self.by_name.items()}
+        self.marks = {name: set().union(*map(marks_of, w)) for name, (_, w) in self.by_name.items()}
 
     def ranked(self, words: list[str]) -> list[tuple[float, str]]:
         """Templates by the share of their own saving that they reach on the block, best first."""
@@ -109,19 +144,20 @@ class Scanner:
         """Stretches of the block, from and to, that the words confirm; the nearest first, none overlap.
 
         Missing and added words are counted over all alignments of the whole template with a
-        stretch, so words outside of it never count.
+        stretch, so words outside of it never count.  A name or version among them makes it
+        another license.
         """
         wanted = self.by_name[name][1]
         most = MOST_CHANGED * len(wanted)
         if sum((Counter(wanted) - Counter(words)).values()) > most:
             return []
-        missing = [1] * len(wanted)
+        missing, marks = self.missing[name], self.marks[name]
         column = [(0, 0)]
         for cost in missing:
             column.append((column[-1][0] + cost, 0))
         found = []
         for j, word in enumerate(words):
-            added = 1
+            added = 1 if marks_of(word) <= marks else OTHER
             new = [(0, -(j + 1))]
             for i, w in enumerate(wanted):
                 new.append(min((new[i][0] + missing[i], new[i][1]), (column[i + 1][0] + added, column[i + 1][1]),
@@ -143,7 +179,11 @@ class Scanner:
         """
         places = list(_WORD.finditer(_MARK.sub(lambda m: " " * len(m[0]), text)))
         raw = [m[0].lower() for m in places]
-        words, at = raw, range(len(raw))
+        words, at = [], []  # as compared, and the place of each
+        for i, word in enumerate(raw):
+            for x in compared("lesser" if word == "library" and raw[i + 1:i + 3] == ["general", "public"] else word):
+                words.append(x)
+                at.append(i)
         starts = [0]
         for word in words:
             starts.append(starts[-1] + len(word) + 1)

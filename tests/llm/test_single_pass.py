@@ -145,6 +145,19 @@ def test_licenses_over_several_lines(spark):
     assert licenses_of(spark, [two, two + "\n" + two]) == [("CC-BY-SA-4.0,MIT", 2, True), ("CC-BY-SA-4.0,MIT", 4, True)]
 
 
+def test_licenses_without_a_template_get_no_name(spark):
+    gpl, apache = licenses.TEMPLATES["GPL-3.0"], licenses.TEMPLATES["Apache-2.0-header"]
+    others = [
+        gpl.replace("General", "Lesser General"), gpl.replace("General", "Affero General"), gpl.replace("General", "Library General"),
+        gpl.replace("3", "1"), gpl.replace("3", "2.1"), gpl.replace(", version 3", ""), apache.replace("2.0", "1.1"),
+        licenses.TEMPLATES["GPL-header"].replace("General", "Lesser General"), licenses.TEMPLATES["MPL-2.0"].replace("Mozilla", "Eclipse"),
+        "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY NC ND 4.0.", "Licensed under CC BY ND 4.0.", "Licensed under CC BY 3.0."]
+    assert licenses_of(spark, others) == [("", 0, None)] * len(others)
+    same = {gpl.replace("version 3", "v3.0"): "GPL-3.0", "Licensed under the Apache Software License, Version 2.0.": "Apache-2.0",
+            apache.replace("You may obtain", "One may get"): "Apache-2.0-header", "Licensed under CC-BY-SA 4.0.": "CC-BY-SA-4.0"}
+    assert licenses_of(spark, list(same)) == [(x, 1, False) for x in same.values()]
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     tokenizers, tables = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = tables.path("byte_bpe_50k.json")
