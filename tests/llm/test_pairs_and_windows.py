@@ -127,6 +127,11 @@ def test_fuzzy_lines_of_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_dropped) for r in rows) == [(-1, 0), (4, 2), (4, 2)]
 
 
+def test_fuzzy_lines_that_repeat_themselves(spark):
+    texts = ["-" * 20, "-" * 60, "=== " * 5, "=== " * 20, "buy now! " * 4, "buy now! " * 50]
+    assert [r.n_dropped for r in fuzzy_lines.dedup_lines(table(spark, texts)).orderBy("doc_id").collect()] == [0, 1] * 3
+
+
 @pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 51), (7, None)]])
 def test_components(spark, edges):
     links = spark.createDataFrame(edges, "a long, b long")
