@@ -1,6 +1,7 @@
 """Near-duplicates, benchmark windows, fuzzy lines and components against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -132,6 +133,21 @@ def test_fuzzy_lines_that_repeat_themselves(spark):
     assert [r.n_dropped for r in fuzzy_lines.dedup_lines(table(spark, texts)).orderBy("doc_id").collect()] == [0, 1] * 3
 
 
+def test_fuzzy_lines_of_ordinary_length_with_one_edit(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in range(30, 121):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    0123") for _ in range(n - 2)).join("<>")
+        i = n // 2 + rng.randrange(-5, 5)
+        texts += [line, line[:i] + ("#", "#" + line[i], "")[n % 3] + line[i + 1:]]
+    sets = [{t[i:i + fuzzy_lines.SHINGLE] for i in range(len(t) - fuzzy_lines.SHINGLE + 1)} for t in texts]
+    most, whole = fuzzy_lines.SIMILAR
+    pairs = {(a, b) for b in range(len(sets)) for a in range(b) if whole * len(sets[a] & sets[b]) >= most * len(sets[a] | sets[b])}
+    assert pairs == {(a, a + 1) for a in range(0, len(texts), 2)}
+    got = {r.doc_id: r.n_dropped for r in fuzzy_lines.dedup_lines(table(spark, texts)).collect()}
+    assert sum(got[b] for _, b in pairs) >= 0.98 * len(pairs) and not any(got[a] for a, _ in pairs)
+
+
 @pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 51), (7, None)]])
 def test_components(spark, edges):
     links = spark.createDataFrame(edges, "a long, b long")
