@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.llm import (
-    decontaminate, fuzzy_lines, languages, licenses, mixing, near_dups, neighbours, sharding, token_counts, url_filter)
+    decontaminate, fuzzy_lines, languages, lexical_search, licenses, mixing, near_dups, neighbours, pitman_yor, sharding,
+    token_alignment, token_counts, url_filter)
 from pairloom.llm.tables import read
 
 SHARDS = 40
@@ -19,6 +20,8 @@ URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/",
 #: Every so many vectors one is a query, and how many neighbours it gets.
 QUERY_EVERY, NEIGHBOURS = 20, 20
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
+#: The tokenizer aligned with TOKENIZER, and how many documents an item gets.
+OTHER_TOKENIZER, RANKED = "piece_bpe_32k.model", 50
 
 
 def text_bytes(text: Column) -> Column:
@@ -117,8 +120,44 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), RANKED)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
+                                 public_tokenizers.path(OTHER_TOKENIZER))
+
+
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_histogram_shards, op2_source_mixture, op3_hash_neighbours, op4_url_regression, op5_benchmark_windows,
-    op6_near_duplicates, op7_license_compression, op8_fuzzy_lines, op9_pretoken_counts, op10_language_codes)}
-
-ORACLES: dict[str, str] = {}
+    op6_near_duplicates, op7_license_compression, op8_fuzzy_lines, op9_pretoken_counts, op10_language_codes,
+    op11_shared_search, op12_token_alignment, op13_pitman_yor)}
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES: dict[str, str] = {
+    "op11_shared_search": f"""
+        with d as materialized (select row_number() over () r, doc_id, {_TERMS} l from documents),
+        sizes as (select r, doc_id, len(l) n from d where len(l) > 0),
+        corpus as (select count(*) n_docs, cast(sum(n) as bigint) len from sizes),
+        asked as (select distinct item_id, unnest({_TERMS}) term from benchmark),
+        held as materialized (select r, term, count(*) tf from (select r, unnest(l) term from d)
+            where term in (select term from asked) group by r, term),
+        weights as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) w
+            from (select term, count(*) df from held group by term), corpus),
+        scored as (select item_id, s.r, doc_id,
+                cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // len)))) as bigint) score
+            from asked join held using (term) join weights using (term) join sizes s on s.r = held.r, corpus
+            group by item_id, s.r, doc_id),
+        ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) rank,
+                doc_id, score from scored where score > 0)
+        select item_id, rank, doc_id, score from ranked where rank <= {RANKED}""",
+}
