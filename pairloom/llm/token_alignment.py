@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +33,27 @@ SHARDS = 256
 #: Vectors that one step of the tree adds up.
 FAN = 32
 #: Documents cut at a time, and units and links a task remembers before it starts anew.
-SLICE, UNITS, LINKS = 400, 200_000, 2_000_000
+SLICE, UNITS, LINKS = 400, 300_000, 3_000_000
+#: Units that go through the tokenizers in one text.
+JOINED = 256
 #: Bytes of the count table that tasks get at a time; a larger table is looked up in sections,
 #: one pass over the documents each.
 SECTION_BYTES = 128 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Texts without these are cut at every space; the others at spaces that begin a run of white space.
-_ODD = re.compile(r"\s |\A | \Z")
+_RUN = re.compile(r" (?<=\s )")
 _UNIT_START = regex.compile(r"(?<=\P{White_Space}) ")
 
 
 class Aligner:
     """Units of texts with their tokens, groups and links; remembers a bounded number."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, with_groups: bool = True):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.with_groups = with_groups
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
@@ -74,7 +78,7 @@ class Aligner:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
         self.sums = np.zeros((0, 4), np.int64)
         self.whole = np.zeros(0, bool)
         self.first = np.zeros(1, np.int64)
@@ -85,63 +89,69 @@ class Aligner:
         space.  A single space at the end stays with the unit before it."""
         if not self.by_unit:
             return [text]
-        if not _ODD.search(text):
+        if text[0] != " " and text[-1] != " " and not _RUN.search(text):
             return text.split(" ")
         out = _UNIT_START.split(text)
         if out[-1] == "" and len(out) > 1:
             out[-2:] = [out[-2] + " "]
         return out
 
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both sides, and whether both give the bytes back."""
+        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        a, b = self.bytes_a, self.bytes_b
+        whole = [b"".join([a[i] for i in x]) == (u := b" " + t.encode()) and b"".join([b[i] for i in y]) == u
+                 for t, x, y in zip(texts, ids_a, ids_b)]
+        return ids_a, ids_b, whole
+
     def learn(self, new: list[str]) -> None:
-        """Align units that are not known yet."""
-        ids_a = [x.ids for at in range(0, len(new), SLICE)
-                 for x in self.a.encode_batch([" " + u for u in new[at:at + SLICE]], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        bytes_a, bytes_b = self.bytes_a, self.bytes_b
-        whole = [b"".join([bytes_a[i] for i in a]) == (u := b" " + text.encode()) and b"".join([bytes_b[i] for i in b]) == u
-                 for text, a, b in zip(new, ids_a, ids_b)]
-        ids_a = [a if ok else [] for a, ok in zip(ids_a, whole)]
-        ids_b = [b if ok else [] for b, ok in zip(ids_b, whole)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (ids_a, ids_b))
-        a = np.fromiter((i for x in ids_a for i in x), np.int64, int(n_a.sum()))
-        b = np.fromiter((i for x in ids_b for i in x), np.int64, int(n_b.sum()))
+        """Align units that are not known yet.  Many go through the tokenizers in one text; a unit
+        that ends in white space would meet the next one's space and stands alone."""
+        plain = [u for u in new if u and "▁" not in u and not u[-1].isspace()] if self.by_unit else []
+        joined = [" ".join(plain[at:at + JOINED]) for at in range(0, len(plain), JOINED)]
+        ids_a, ids_b, ok = self._encoded(joined)
+        if not all(ok):
+            plain, ids_a, ids_b = [], [], []
+        known = set(plain)
+        alone = [u for u in new if u not in known]
+        more_a, more_b, ok = self._encoded(alone)
+        ids_a += [x if good else [] for x, good in zip(more_a, ok)]
+        ids_b += [x if good else [] for x, good in zip(more_b, ok)]
+        new, whole = plain + alone, np.array([True] * len(plain) + ok, bool)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (ids_a, ids_b))
         # The units' bytes in a row: both sides have the same total after each unit.
+        unit_end = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in new), np.int64, len(new)) * whole)
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        unit_a, unit_b = (np.searchsorted(unit_end, x, "left") for x in (end_a, end_b))
         lo = np.searchsorted(end_b, end_a - self.width_a[a], "right")
-        hi = np.searchsorted(end_b, end_a, "left")
-        n_links = hi - lo + 1
+        n_links = np.searchsorted(end_b, end_a, "left") - lo + 1
         of_a = np.repeat(np.arange(len(a)), n_links)
-        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links, n_links) + np.repeat(lo, n_links)
-        unit_a = np.repeat(np.arange(len(new)), n_a)
+        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links - lo, n_links)
         links = np.bincount(unit_a, n_links, len(new)).astype(np.int64)
         cut_a, cut_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
-        n_groups = np.bincount(unit_a, cut_a, len(new)).astype(np.int64)
-        self.sums = np.vstack([self.sums, np.stack([n_a, n_b, n_groups, links], axis=1)])
+        counts = [np.bincount(unit_a, minlength=len(new)), np.bincount(unit_b, minlength=len(new)),
+                  np.bincount(unit_a[cut_a], minlength=len(new)), links]
+        self.sums = np.vstack([self.sums, np.stack(counts, axis=1)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(links)])
         self.whole = np.concatenate([self.whole, whole])
         end = int(self.first[-1])
         if end > len(self.links):
             self.links = np.resize(self.links, max(end, 2 * len(self.links)))
         self.links[end - len(of_a):end] = a[of_a] * len(self.bytes_b) + b[of_b]
-        self.groups += self._texts(a, b, cut_a, cut_b, n_groups, whole)
-        for u in new:
-            self.at[u] = len(self.at)
-
-    def _texts(self, a, b, cut_a, cut_b, n_groups, whole) -> list[str | None]:
-        """``a1,a2|b1;a3|b2`` of every unit; None for a unit that a tokenizer changes."""
-        parts: list[list[str]] = []
-        for ids, cut in ((a, cut_a), (b, cut_b)):
-            text, at, groups = list(map(str, ids.tolist())), 0, []
-            for end in (np.flatnonzero(cut) + 1).tolist():
-                groups.append(text[at] if end - at == 1 else ",".join(text[at:end]))
-                at = end
-            parts.append(groups)
-        groups = [f"{x}|{y}" for x, y in zip(*parts)]
-        out, at = [], 0
-        for n, ok in zip(n_groups.tolist(), whole):
-            out.append(";".join(groups[at:at + n]) if ok else None)
-            at += n
-        return out
+        if self.with_groups:
+            self.groups += self._groups(a, b, cut_a, cut_b, np.cumsum(counts[0] + counts[1]))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+
+    def _groups(self, a, b, cut_a, cut_b, ends) -> list[str]:
+        """``a1,a2|b1;a3|b2;`` of every unit, whose tokens end at ``ends``."""
+        # All A tokens of a group, then its B tokens.
+        group = np.concatenate([np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b])
+        order = np.argsort(group * 2 + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        kind = np.concatenate([cut_a, 2 + cut_b])[order].tolist()
+        text, mark = list(map(str, np.concatenate([a, b])[order].tolist())), (",", "|", ",", ";")
+        text = [t + mark[k] for t, k in zip(text, kind)]
+        return ["".join(text[lo:hi]) for lo, hi in zip([0, *ends.tolist()], ends.tolist())]
 
     def read(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], int]:
         """Unit numbers of each text, in order; None for a text without tokens.  Second, the
@@ -241,7 +251,7 @@ class Places:
 def _pair_counts(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(chunk, shard, pairs, counts): of each batch of documents, how many hold a pair linked."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, part = Aligner(path_a, path_b), TaskContext.get().partitionId()
+        aligner, part = Aligner(path_a, path_b, with_groups=False), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             seen = []
             for piece in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
@@ -385,7 +395,7 @@ def _look_up(rows: DataFrame, path_a: str, path_b: str, section: list, best: np.
                     continue
                 sums[i, :4] = aligner.sums[ids].sum(axis=0)
                 sums[i, 4:] = of_unit[ids].sum(axis=0)
-                digests.append(hashlib.sha256(";".join([aligner.groups[u] for u in ids.tolist()]).encode()).hexdigest())
+                digests.append(hashlib.sha256("".join([aligner.groups[u] for u in ids.tolist()])[:-1].encode()).hexdigest())
             sums[:, 4:] += np.stack([batch.column(c).to_numpy() for c in ("n_best", "count_sum")], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), *[pa.array(sums[:, j]) for j in range(6)], pa.array(digests, pa.string()),
