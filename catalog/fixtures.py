@@ -177,6 +177,7 @@ VIEWS = {
 }
 
 NEEDS = {
+    "reworded": ["functions", "lines"],
     "lines": ["functions"], "pairs": ["lines"], "moved_pairs": ["functions"],
     "unique_lines": ["lines"], "unique_functions": ["unique_lines"],
     "predicted_edits": ["unique_lines"], "predictions": ["predicted_edits"],

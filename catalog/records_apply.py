@@ -13,7 +13,8 @@ from pairloom.functions import wire
 from pairloom.operators import apply as A, metrics
 from pairloom.operators import records as R
 from pairloom.operators.ranking import longest_first
-from pairloom.plans import datasets
+from pairloom.plans import datasets, slices
+from pairloom.session import scratch_path
 
 
 def _prompts(spark, sf):
@@ -49,7 +50,7 @@ def _encoded(spark, sf, length=None):
 
 
 def encode_tokens(spark, sf):
-    """Whole texts, padded to the longest."""
+    """Whole texts, padded within their length bucket."""
     return _encoded(spark, sf)
 
 
@@ -59,6 +60,23 @@ def encode_tokens_cut(spark, sf):
 
 
 
+def token_buckets(spark, sf):
+    f = X.functions(spark, sf)
+    return R.bucket_totals(R.encode_tokens(f, "before", R.vocabulary(f, "before")))
+
+
+def sliced_job(spark, sf):
+    """A job over slices of a thousand texts that is stopped after two and taken up again."""
+    def job(rows):
+        return rows.select("doc_id", "row_number", F.size(C.words(F.col("text"))).cast("long").alias("words"))
+
+    folder = scratch_path(spark, "slices")
+    slices.prepare(table(spark, sf, "documents").select("doc_id", "source", "text"), ["source", "doc_id"], 1000, folder)
+    slices.run(spark, folder, job, limit=2)
+    slices.run(spark, folder, job)
+    return slices.result(spark, folder)
+
+
 def mask_label_padding(spark, sf):
     rows = X.predictions(spark, sf).withColumn("injections", F.coalesce("injections", F.lit("")))
     ids = R.encode_tokens(rows, "injections", R.vocabulary(rows, "injections"), length=None)
@@ -175,6 +193,8 @@ QUERIES = {
     "vocabulary": lambda s, d: R.vocabulary(X.functions(s, d), "before"),
     "encode_tokens": encode_tokens, "encode_tokens_cut": encode_tokens_cut,
     "mask_label_padding": mask_label_padding,
+    "token_buckets": token_buckets,
+    "sliced_job": sliced_job,
     "train_test_build": train_test_build,
     "location_records": location_records,
     "dataset_table": lambda s, d: datasets.dataset_table(X.pairs(s, d)),
@@ -226,15 +246,21 @@ def _folded(table_sql: str, column: str) -> str:
         group by pair_id, g) group by pair_id"""
 
 
+# Smallest power of two that is not below a number of tokens.
+_WIDTH = "case when %s = 0 then 0 else list_filter(list_transform(range(31), lambda i: 1 << i), lambda x: x >= %s)[1] end"
+
+
+def _width(n: str) -> str:
+    return _WIDTH.replace("%s", n)
+
+
 def _encode_sql(width: str, kept: str) -> str:
     return sql(
-        f"""select f.pair_id, coalesce(any_value(s), '') || case when coalesce(any_value(n), 0) in (0, w) then '' else ' ' end
-                || rtrim(repeat('0 ', w - coalesce(any_value(n), 0))) input_ids,
-            repeat('1', coalesce(any_value(n), 0)) || repeat('0', w - coalesce(any_value(n), 0)) attention_mask,
-            coalesce(any_value(n), 0) n_tokens
-           from functions f cross join (select {width} w) left join (
-               select pair_id, count(*) n, string_agg(token_id, ' ' order by pos) s
-               from ids where {kept} group by pair_id) c on f.pair_id = c.pair_id group by f.pair_id, w""",
+        f"""select pair_id, s || case when n in (0, w) then '' else ' ' end || rtrim(repeat('0 ', w - n)) input_ids,
+            repeat('1', n) || repeat('0', w - n) attention_mask, n n_tokens
+           from (select *, cast({width} as bigint) w from (
+               select f.pair_id, count(pos) n, coalesce(string_agg(token_id, ' ' order by pos), '') s
+               from functions f left join ids i on f.pair_id = i.pair_id and {kept} group by f.pair_id))""",
         "functions", vocab=_vocab("functions", "before"), ids=_ids("functions", "before"))
 
 
@@ -332,14 +358,21 @@ ORACLES = {
         n=f"""select pair_id, len(regexp_extract_all(before, {_TOKEN})) n_in,
               len(regexp_extract_all(coalesce(injections, ''), {_TOKEN})) n_out from applied_input"""),
     "vocabulary": sql(f"select * from ({_vocab('functions', 'before')})", "functions"),
-    "encode_tokens": _encode_sql("(select max(len(regexp_extract_all(before, %s))) from functions)" % _TOKEN, "true"),
+    "encode_tokens": _encode_sql(_width("n"), "true"),
     "encode_tokens_cut": _encode_sql("2048", "pos <= 2048"),
+    "token_buckets": sql(
+        f"""select cast({_width('n')} as int) width, count(*) texts, cast(sum(n) as bigint) tokens,
+            cast(sum({_width('n')}) as bigint) cells
+            from (select len(regexp_extract_all(before, {_TOKEN})) n from functions) group by 1""", "functions"),
+    "sliced_job": f"""select doc_id, r row_number, (r - 1) // 1000 chunk,
+            len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) words
+        from (select *, row_number() over (order by source, doc_id) r from documents)""",
     "mask_label_padding": sql(
-        """select p.pair_id, array_to_string(list_concat(coalesce(l, []),
+        f"""select pair_id, array_to_string(list_concat(coalesce(l, []),
                 case when w = coalesce(len(l), 0) then [] else
                     list_concat([0], list_transform(range(w - coalesce(len(l), 0) - 1), lambda x: -100)) end), ' ') labels
-           from predictions p left join g on p.pair_id = g.pair_id
-           cross join (select max(len(l)) w from g)""",
+           from (select p.pair_id, l, {_width('coalesce(len(l), 0)')} w
+                 from predictions p left join g on p.pair_id = g.pair_id)""",
         "predictions", vocab=_vocab("predictions", "injections"), ids=_ids("predictions", "injections"),
         g="select pair_id, list(token_id order by pos) l from ids group by pair_id"),
     "train_test_build": _train_test_sql(),

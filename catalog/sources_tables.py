@@ -116,12 +116,50 @@ def filter_edit_size(spark, sf):
     return tables.drop_missing(kept, "lines_with_vul", "lines_after_fix")
 
 
+def _reworded(spark, sf):
+    """Pairs with words changed, dropped and added inside lines, besides whole lines."""
+    def edit(l, i):
+        w = C.words(l)
+        return (F.when(i % 7 == 3, F.array().cast("array<string>"))
+                .when(i % 5 == 2, F.array(F.regexp_replace(l, "([aeiou])(\\S*) ", "$1x$2 ")))
+                .when(i % 11 == 6, F.array(F.concat(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), " "), F.lit(" cut"))))
+                .when(i % 13 == 8, F.array(F.concat(l, F.lit(" and more")), F.lit("one new line"))).otherwise(F.array(l)))
+    return X.functions(spark, sf).withColumn(
+        "after", F.array_join(F.flatten(F.transform(C.lines(F.col("before")), edit)), "\n"))
+
+
+X.VIEWS["reworded"] = f"""select f.pair_id, any_value(before) before, string_agg(x, {NL} order by pos, k) filter (where k >= 0) after
+    from functions f join (
+        select pair_id, pos, case when pos % 7 = 3 then -1 else 0 end k,
+               case when pos % 5 = 2 then regexp_replace(line, '([aeiou])(\\S*) ', '\\1x\\2 ', 'g')
+                    when pos % 11 = 6 then array_to_string(list_filter(string_split_regex(trim(line, {WS}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x, i: i > 1), ' ') || ' cut'
+                    when pos % 13 = 8 then line || ' and more' else line end x from lines
+        union all select pair_id, pos, 1, 'one new line' from lines
+            where pos % 13 = 8 and pos % 7 <> 3 and pos % 5 <> 2 and pos % 11 <> 6) e
+    on f.pair_id = e.pair_id group by f.pair_id"""
+
+
 def size_buckets(spark, sf):
-    words = F.size(F.flatten(F.transform(diff.new_lines(F.col("script")), C.words)))
-    sizes = _scripts(spark, sf).select("pair_id", words.cast("long").alias("changed_words"))
+    sizes = diff.scripts_of(_reworded(spark, sf)).select("pair_id", diff.changed_words(F.col("script")).alias("changed_words"))
     return tables.size_buckets(sizes, "changed_words")
 
 
+def file_row_ids(spark, sf):
+    """Texts written to several files in order, without any key, and numbered on reading."""
+    path = scratch_path(spark, "no-key")
+    (table(spark, sf, "documents").select("doc_id", "text").repartitionByRange(6, "doc_id")
+     .sortWithinPartitions("doc_id").select("text").write.json(path))
+    rows = files.file_row_ids(spark.read.schema("text string").json(path))
+    return rows.select("pair_id", F.md5("text").alias("digest"))
+
+
+def split_leak_check(spark, sf):
+    rows = _dedup_fixture(spark, sf)
+    train, test = rows.where(F.col("pair_id") % 5 != 0), rows.where(F.col("pair_id") % 5 == 0)
+    key = C.fingerprint(F.col("before"), F.col("after"))
+    return dedup.split_leaks(train, test, key)
+
+
 def sample_k(spark, sf):
     return tables.sample_k(table(spark, sf, "documents").select("doc_id", "lang"), 100, "-42", "doc_id")
 
@@ -189,6 +227,8 @@ QUERIES = {
     "exclusion_table": exclusion_table,
     "scan_hub_export": scan_hub_export,
     "assign_row_id": assign_row_id,
+    "file_row_ids": file_row_ids,
+    "split_leak_check": split_leak_check,
     "select_columns": lambda s, d: _corpus(s, d).select("func", "target"),
     "drop_columns": lambda s, d: _corpus(s, d).drop("lang", "source"),
     "drop_missing": drop_missing,
@@ -237,6 +277,10 @@ ORACLES = {
     "scan_hub_export": "select doc_id commit_id, text func from documents",
     "assign_row_id": """select source, doc_id, row_number() over (order by source, doc_id) - 1 pair_id
         from documents""",
+    "file_row_ids": """select row_number() over (order by doc_id) - 1 pair_id, md5(text) digest from documents""",
+    "split_leak_check": f"""with d as (select pair_id, pair_id % 5 = 0 is_test, {_FP} fp from ({_DEDUP}))
+        select case when is_test then 'test' else 'train' end split, pair_id, fp fingerprint from d
+        where fp in (select fp from d where is_test) and fp in (select fp from d where not is_test)""",
     "select_columns": f"with c as ({_CORPUS}) select func, target from c",
     "drop_columns": f"with c as ({_CORPUS}) select doc_id, func, target from c",
     "drop_missing": "select doc_id, lang, source from documents where lang <> 'es'",
@@ -263,11 +307,23 @@ ORACLES = {
            where name like '%CVEFixes%'""", "names"),
     "filter_edit_size": script_sql(
         """select pair_id, lines_with_vul, lines_after_fix from targets where n_gone < 30 and n_new < 30"""),
+    # The edit distance by its table, one row of all edits a step; the minimum to the left of a cell
+    # is a running one.
     "size_buckets": script_sql(
         """select pair_id, n changed_words, n < 5 below_5, n < 10 below_10, n < 20 below_20, n < 30 below_30
-           from (select p.pair_id, cast(coalesce(sum(len(regexp_extract_all(
-                     array_to_string(value, ' '), '[^ \\t\\n\\x0B\\f\\r]+'))), 0) as bigint) n
-                 from pairs p left join edits e on p.pair_id = e.pair_id group by p.pair_id)"""),
+           from (select p.pair_id, cast(coalesce(sum(coalesce(d, len(old) + len(new))), 0) as bigint) n
+                 from reworded p left join worded e on p.pair_id = e.pair_id left join cells c
+                   on c.id = e.id and c.i = len(old) and c.j = len(new) group by p.pair_id)""",
+        "reworded",
+        worded="""select row_number() over () id, pair_id, kind,
+            case when kind = 'insert' then [] else regexp_extract_all(key, '[^ \\t\\n\\x0B\\f\\r]+') end old,
+            regexp_extract_all(array_to_string(value, ' '), '[^ \\t\\n\\x0B\\f\\r]+') new from edits""",
+        cells="""select id, 0 i, unnest(range(0, len(new) + 1)) j, unnest(range(0, len(new) + 1)) d from worded where kind = 'replace'
+            union all select id, i + 1, j, min(up - j) over (partition by id order by j rows unbounded preceding) + j
+            from (select c.id, i, j, old, new, case when j = 0 then i + 1 else least(d + 1,
+                      lag(d) over (partition by c.id order by j) + case when old[i + 1] = new[j] then 0 else 1 end) end up
+                  from cells c join worded w on c.id = w.id where i < len(old))"""
+    ).replace("with ", "with recursive ", 1).replace("cells as materialized", "cells as", 1),
     "sample_k": """select doc_id, lang from documents
         order by md5(cast(doc_id as varchar) || '-42'), doc_id limit 100""",
     "apply_filter": f"with c as ({_CORPUS}) select doc_id, source from c where lang = 'en' and target = 1",

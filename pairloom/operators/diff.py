@@ -307,6 +307,48 @@ def new_lines(script: Column) -> Column:
         e["value"], lambda v: F.concat(pad(e), v))))
 
 
+def _as_letters(words: Column, known: Column) -> Column:
+    """A text with one letter per word: equal words, equal letters."""
+    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(words, letter), "")
+
+
+def words_changed(old: Column, new: Column) -> Column:
+    """Fewest words to replace, delete or insert between two arrays of words.
+
+    The edit distance of the JVM, over texts in which each word is one letter.  What both
+    sides begin and end with is left out first, so a long line with a small change is cheap.
+    """
+    def common(a, b):
+        """Number of equal words at the front."""
+        same = F.zip_with(a, F.slice(b, F.lit(1), F.size(a)), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(same, False)
+        return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
+
+    def inside(x, front, back):
+        return F.slice(x, front + 1, F.greatest(F.size(x) - front - back, F.lit(0)))
+
+    def middle(front):
+        rest_old, rest_new = (F.reverse(F.slice(x, front + 1, F.size(x))) for x in (old, new))
+        return let(common(rest_old, rest_new), lambda back: let(
+            F.struct(inside(old, front, back).alias("a"), inside(new, front, back).alias("b")), lambda x: let(
+                F.array_distinct(F.concat(x["a"], x["b"])),
+                lambda known: F.levenshtein(_as_letters(x["a"], known), _as_letters(x["b"], known)))))
+
+    return let(common(old, new), middle)
+
+
+def changed_words(script: Column) -> Column:
+    """Words that an edit script changes: those of removed and inserted lines, and the edit
+    distance in words between a replaced line and the lines in its place."""
+    def one(e):
+        old = F.when(e["kind"] == "insert", F.array().cast("array<string>")).otherwise(X.words(e["key"]))
+        new = F.flatten(F.transform(e["value"], X.words))
+        return (F.when(e["kind"] == "replace", words_changed(old, new))
+                .otherwise(F.size(old) + F.size(new)).cast("long"))
+    return F.aggregate(F.transform(script, one), F.lit(0).cast("long"), lambda total, n: total + n)
+
+
 def location_targets(scripts: DataFrame, max_lines: int | None = S.MAX_EDIT_LINES) -> DataFrame:
     """(pair_id, lines_with_vul, lines_after_fix); both NULL for oversize pairs."""
     gone, new = location_lines(F.col("script")), new_lines(F.col("script"))

@@ -55,12 +55,11 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     return number_rows(counts, [F.desc("n"), F.asc("token")], "token_id")
 
 
-def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None = None,
-                  pad: int = 0, row_id: str = "pair_id") -> DataFrame:
-    """(row_id, input_ids, attention_mask, n_tokens): padded id arrays of whole texts.
+def token_ids(df: DataFrame, text: str, vocab: DataFrame, length: int | None = None,
+              pad: int = 0, row_id: str = "pair_id") -> DataFrame:
+    """(row_id, input_ids): ragged id arrays of whole texts, or of their first ``length`` tokens.
 
-    Rows are padded to the longest one; a ``length`` cuts and pads to that instead.  A
-    text is partitioned by its id before it is cut into tokens, and sends one row per
+    A text is partitioned by its id before it is cut into tokens, and sends one row per
     distinct token to the vocabulary join, with the positions in an array; adaptive
     execution splits frequent tokens there.  Tokens outside the vocabulary get the pad
     id.  A text without tokens keeps its row.
@@ -72,16 +71,43 @@ def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None
     coded = spots.join(vocab.select("token", "token_id"), "token", "left")
     place = F.when(F.col("pos").isNotNull(), F.struct(
         "pos", F.coalesce(F.col("token_id"), F.lit(pad)).cast("int").alias("id")))
-    ids = (coded.select(row_id, F.explode_outer("spots").alias("pos"), "token_id")
-           .groupBy(row_id).agg(F.sort_array(F.collect_list(place)).alias("_s"))
-           .select(row_id, F.col("_s.id").alias("_ids")))
-    size = F.size("_ids")
-    width = F.lit(length) if length is not None else df.agg(
-        F.coalesce(F.max(token_count(F.col(text))), F.lit(0))).scalar()
-    padded = F.concat("_ids", F.array_repeat(F.lit(pad), width - size))
-    mask = F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), width - size))
-    return ids.select(row_id, padded.alias("input_ids"), mask.alias("attention_mask"),
-                      size.alias("n_tokens"))
+    return (coded.select(row_id, F.explode_outer("spots").alias("pos"), "token_id")
+            .groupBy(row_id).agg(F.sort_array(F.collect_list(place)).alias("_s"))
+            .select(row_id, F.col("_s.id").alias("input_ids")))
+
+
+def bucket_width(n_tokens: Column) -> Column:
+    """Width of the length bucket: the smallest power of two that holds the tokens, so that
+    padding never doubles a row.  No row's width depends on another row."""
+    bits = F.length(F.bin(n_tokens.cast("long") - 1))
+    return F.when(n_tokens <= 1, n_tokens).otherwise(F.pow(F.lit(2), bits)).cast("int")
+
+
+def padded(ids: DataFrame, width: Column, pad: int = 0, input_ids: str = "input_ids") -> DataFrame:
+    """Add n_tokens and attention_mask, and pad ``input_ids`` to ``width``, a column over ``n_tokens``."""
+    rest = width - F.col("n_tokens")
+    return (ids.withColumn("n_tokens", F.size(input_ids))
+            .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("n_tokens")), F.array_repeat(F.lit(0), rest)))
+            .withColumn(input_ids, F.concat(input_ids, F.array_repeat(F.lit(pad), rest))))
+
+
+def encode_tokens(df: DataFrame, text: str, vocab: DataFrame, length: int | None = None,
+                  pad: int = 0, row_id: str = "pair_id") -> DataFrame:
+    """(row_id, input_ids, attention_mask, n_tokens): padded id arrays, see ``token_ids``.
+
+    Whole texts are padded within their length bucket: a long text widens no other row, and
+    rows of one width make a batch.  A ``length`` cuts and pads every row to that instead.
+    """
+    width = bucket_width(F.col("n_tokens")) if length is None else F.lit(length)
+    return padded(token_ids(df, text, vocab, length, pad, row_id), width, pad).select(
+        row_id, "input_ids", "attention_mask", "n_tokens")
+
+
+def bucket_totals(encoded: DataFrame) -> DataFrame:
+    """(width, texts, tokens, cells) of padded arrays, one row per length bucket."""
+    return encoded.groupBy(F.size("input_ids").alias("width")).agg(
+        F.count("*").alias("texts"), F.sum(F.col("n_tokens").cast("long")).alias("tokens"),
+        F.sum(F.size("input_ids").cast("long")).alias("cells"))
 
 
 def mask_label_padding(labels: Column, pad: int = 0) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from pairloom.functions import text as X
 from pairloom.operators.scale import number_rows
+from pairloom.session import durable
 
 # Quoted multi-line text; '' and NULL stay apart; no trimming on either side.
 CSV = {
@@ -88,3 +89,20 @@ def assign_row_id(df: DataFrame, order: list[str], name: str = "pair_id") -> Dat
     return out.withColumn(name, F.col(name) - 1)
 
 
+def file_row_ids(df: DataFrame, name: str = "pair_id") -> DataFrame:
+    """Dense 0-based ids by file path and place in the file, for input without any key.
+
+    ``df`` is what a file reader returns, of any splittable or unsplittable format.  A split
+    (path, start of its block) is read by one task, in order, so a row's place is its place
+    in the split plus the rows of all splits before it.  The rows are written once with their
+    split and running number; only (split, rows, first number) is counted and summed up, one
+    row per split.  Ids do not depend on how the files were split.
+    """
+    path, start = (F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start"))
+    rows = durable(df.select("*", path.alias("_path"), start.alias("_start"),
+                             F.monotonically_increasing_id().alias("_at")))
+    splits = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (rows.join(durable(offsets), ["_path", "_start"])
+            .withColumn(name, F.col("_at") + F.col("_shift")).drop("_path", "_start", "_at", "_shift"))

@@ -176,3 +176,47 @@ def test_pairs_without_an_edit_stay(spark):
     targets = {r.pair_id: (r.lines_with_vul, r.lines_after_fix) for r in D.location_targets(scripts).collect()}
     assert targets == {1: ("", ""), 2: ("", ""), 3: (" b", " a"), 5: ("", "")}
     assert D.edit_stats(scripts).first().pairs == 4
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_words_changed_against_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for k in range(80):
+        n, kinds = rng.choice([0, 1, 5, 30, 200]), rng.choice([2, 40, 1000])
+        a = [f"w{rng.randrange(kinds)}" for _ in range(n)]
+        b = [x for x in a if rng.random() < 0.8] + [f"w{rng.randrange(kinds)}" for _ in range(rng.randrange(5))]
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = {r.k: r.n for r in df.select("k", D.words_changed(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {k: edit_distance(a, b) for k, a, b in rows}
+
+
+def test_changed_words_of_a_pair(spark, pair_table):
+    long = " ".join(f"w{i}" for i in range(30))
+    pairs = pair_table(
+        (f"head\n{long}\nend", f"head\n{long.replace('w11 ', 'other ')}\nend"),      # one word of thirty
+        ("head\na b c\nend", "head\nend"),                                          # a pure deletion
+        ("head\nend", "head\nd e f g\nend"),                                        # a pure insertion
+        ("head\nend", "head\nend"),
+        ("head\na b\nc d\nend", "head\na x\nend"),                                 # a line gone, one replaced
+        ("", "one"))
+    sizes = D.scripts_of(pairs).select("pair_id", D.changed_words(F.col("script")).alias("n"))
+    got = {r.pair_id: r.n for r in sizes.collect()}
+    assert got[0] == 1 and got[1] == 3 and got[2] == 4 and got[3] == 0 and got[5] == 1
+    assert got[4] == 2 + 2
+
+
+def test_a_long_line_with_a_small_change_is_cheap(spark, pair_table):
+    words = [f"w{i}" for i in range(40_000)]
+    other = [*words[:20_000], "new", *words[20_001:]]
+    pairs = pair_table(("k\n" + " ".join(words), "k\n" + " ".join(other)))
+    assert D.scripts_of(pairs).select(D.changed_words(F.col("script"))).first()[0] == 1

@@ -1,10 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom import schema as S
 from pairloom.functions import wire
 from pairloom.operators import records as R
 from pairloom.operators import tables as T
-from pairloom.plans import datasets
+from pairloom.plans import datasets, slices
 
 
 def test_prompt_and_cut(spark):
@@ -40,12 +41,51 @@ def test_vocabulary_and_encoding(spark):
     rows = {r.pair_id: r for r in R.encode_tokens(df, "t", vocab, length=3).collect()}
     assert rows[1].input_ids == [2, 1, 2] and rows[2].input_ids == [0, 0, 0]
     assert rows[3].attention_mask == [1, 1, 1] and rows[2].attention_mask == [0, 0, 0]
-    longest = {r.pair_id: r.input_ids for r in R.encode_tokens(df, "t", vocab, length=None).collect()}
-    assert longest[1] == [2, 1, 2, 3] and longest[2] == [0, 0, 0, 0]
+    whole = {r.pair_id: r for r in R.encode_tokens(df, "t", vocab, length=None).collect()}
+    assert whole[1].input_ids == [2, 1, 2, 3] and whole[2].input_ids == [] and whole[2].n_tokens == 0
     known = vocab.where("token <> 'zz'")
     assert {r.pair_id: r.input_ids for r in R.encode_tokens(df, "t", known, length=4).collect()}[3] == [1, 1, 1, 0]
 
 
+def test_one_long_text_widens_no_other_row(spark):
+    texts = [(i, " ".join(["a"] * n)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 8, 9, 1023, 1025, 50_000])]
+    df = spark.createDataFrame([*texts, (99, None)], "pair_id long, t string")
+    rows = {r.pair_id: r for r in R.encode_tokens(df, "t", R.vocabulary(df, "t")).collect()}
+    assert [len(rows[i].input_ids) for i, _ in texts] == [0, 1, 2, 4, 4, 8, 8, 16, 1024, 2048, 65536]
+    assert all(sum(r.attention_mask) == r.n_tokens and len(r.attention_mask) == len(r.input_ids) for r in rows.values())
+    assert all(len(r.input_ids) <= 2 * r.n_tokens for r in rows.values())
+    totals = {r.width: r for r in R.bucket_totals(R.encode_tokens(df, "t", R.vocabulary(df, "t"))).collect()}
+    assert (totals[8].texts, totals[8].tokens, totals[8].cells) == (2, 13, 16) and totals[0].texts == 2
+
+
+def test_job_over_slices_is_stopped_and_resumed(spark, tmp_path):
+    folder, seen = str(tmp_path / "job"), []
+
+    def job(rows):
+        seen.append(sorted(r.id for r in rows.collect()))
+        return rows.select("id", (F.col("id") * 2).alias("twice"))
+
+    df = spark.range(0, 95).repartition(7)
+    assert slices.prepare(df, ["id"], 10, folder) == {i: 10 if i < 9 else 5 for i in range(10)}
+    assert slices.run(spark, folder, job, limit=2) == [0, 1]
+    assert sorted(r.id for r in slices.result(spark, folder).collect()) == list(range(20))
+
+    def breaks(rows):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        slices.run(spark, folder, breaks)
+    # A slice whose output was written but not entered is written anew.
+    spark.range(500).withColumn("twice", F.lit(0)).write.parquet(f"{folder}/out/chunk=2")
+    assert slices.open_slices(spark, folder) == list(range(2, 10))
+    assert slices.prepare(spark.range(3), ["id"], 1, folder) == {i: 10 if i < 9 else 5 for i in range(10)}
+    assert slices.run(spark, folder, job) == list(range(2, 10)) and slices.run(spark, folder, job) == []
+    assert sorted((r.id, r.twice, r.chunk) for r in slices.result(spark, folder).collect()) == [(i, 2 * i, i // 10) for i in range(95)]
+    assert [x for s in seen for x in s] == list(range(95))          # no slice twice, none lost
+    with pytest.raises(ValueError):
+        slices.result(spark, str(tmp_path / "nothing"))
+
+
 def test_mask_label_padding(spark):
     df = spark.createDataFrame([([5, 0, 0, 0],), ([5, 6],), ([0, 7, 0],)], "l array<int>")
     got = [r[0] for r in df.select(R.mask_label_padding(F.col("l"))).collect()]
@@ -119,7 +159,7 @@ def test_generate_and_score(spark, pair_table):
 
 def test_dataset_table_and_location_records(spark):
     from pyspark.sql import functions as F
-    from pairloom.plans import datasets
+    from pairloom.plans import datasets, slices
 
     long = "\n".join(f"l{i}" for i in range(40))
     pairs = spark.createDataFrame([

@@ -136,3 +136,25 @@ def test_shared_dir():
 def test_durable_keeps_values(spark):
     df = durable(spark.range(10).withColumn("p", F.spark_partition_id()))
     assert sorted(df.collect()) == sorted(df.repartition(3).collect())
+
+
+def test_split_leaks(spark):
+    train = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "b"), (5, "c")], "pair_id long, k string")
+    test = spark.createDataFrame([(10, "b"), (11, None), (12, "z"), (13, "b"), (14, "")], "pair_id long, k string")
+    found = dedup.split_leaks(train, test, F.col("k"))
+    assert sorted(map(tuple, found.collect())) == [("test", 10, "b"), ("test", 13, "b"), ("train", 2, "b"), ("train", 4, "b")]
+    assert dedup.split_leaks(train.limit(0), test, F.col("k")).count() == 0
+
+
+def test_split_leaks_with_a_full_filter(hot_rows, spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FILTER_BITS", 64)
+    test = spark.createDataFrame([(5000, "hot"), (5001, "k7"), (5002, "none")], "pair_id long, k string")
+    found = dedup.split_leaks(hot_rows, test, F.col("k")).collect()
+    want = {i for i in range(900) if i % 3 == 0 or i % 50 == 7}
+    assert {r.pair_id for r in found if r.split == "train"} == want
+    assert {r.pair_id for r in found if r.split == "test"} == {5000, 5001}
+
+
+def test_split_leak_filter_stays_small(spark):
+    keys = spark.range(300_000).select(F.col("id").cast("string").alias("fingerprint"))
+    assert dedup._filter_of(keys).count() <= dedup.FILTER_BITS // 64

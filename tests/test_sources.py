@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from pairloom import schema as S
@@ -41,3 +42,31 @@ def test_row_ids_do_not_depend_on_partitions(spark):
 def test_key_table_and_buckets(spark, tmp_path):
     files.write_keys(spark.createDataFrame([(1,), (1,), (2,)], "pair_id long"), str(tmp_path / "k"))
     assert sorted(r.pair_id for r in files.read_keys(spark, str(tmp_path / "k")).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("form", ["json", "csv", "text", "parquet"])
+def test_ids_without_a_key_follow_files_and_places(spark, tmp_path, form):
+    """Several files, one of them empty, read with two split sizes."""
+    want = []
+    for name, n in (("a", 700), ("b", 0), ("c", 1), ("d", 2500)):
+        values = [f"{name} {i % 3}" for i in range(n)]
+        want += values
+        part = spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
+        getattr(part.write, form)(str(tmp_path / name))
+    reader = spark.read if form == "parquet" else spark.read.schema("value string")
+    found = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = reader.format(form).load([str(tmp_path / x) for x in "dcba"])
+            found.append((df.rdd.getNumPartitions(), sorted(files.file_row_ids(df, "id").collect(), key=lambda r: r.id)))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0][0] > found[1][0] or form == "parquet"  # one row group a file
+    for _, rows in found:
+        assert [r.id for r in rows] == list(range(len(want))) and [r.value for r in rows] == want
+
+
+def test_ids_without_a_key_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "value string").write.parquet(str(tmp_path / "none"))
+    assert files.file_row_ids(spark.read.parquet(str(tmp_path / "none"))).collect() == []
