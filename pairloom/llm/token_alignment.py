@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.tables import durable, text_arrays
+from pairloom.llm.token_counts import PRE_TOKEN
 
 #: Hash ranges of the pairs: each is hashed, counted and summed on its own.  Two vocabularies
 #: bound the pairs, so a range is bounded too.
@@ -49,7 +50,7 @@ _UNIT_START = regex.compile(r"(?<=\P{White_Space}) ")
 class Aligner:
     """Units of texts with their tokens, groups and links; remembers a bounded number."""
 
-    def __init__(self, path_a: str, path_b: str, with_groups: bool = True):
+    def __init__(self, path_a: str, path_b: str, with_groups: bool = True, by_rank: bool = False):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -64,6 +65,7 @@ class Aligner:
         of_char = _byte_alphabet()
         self.bytes_a = {i: bytes(of_char[c] for c in t) if all(c in of_char for c in t) else t.encode()
                         for t, i in self.a.get_vocab().items()}
+        self.ranked = _ranked(self.a, self.bytes_a) if by_rank else None
         self.width_a = np.zeros(max(self.bytes_a) + 1, np.int64)
         for i, x in self.bytes_a.items():
             self.width_a[i] = len(x)
@@ -98,7 +100,9 @@ class Aligner:
 
     def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of both sides, and whether both give the bytes back."""
-        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        ids_a = ([self.ranked.encode_ordinary(t) for t in spaced] if self.ranked else
+                 [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
         ids_b = self.b.encode(texts, num_threads=1)
         a, b = self.bytes_a, self.bytes_b
         whole = [b"".join([a[i] for i in x]) == (u := b" " + t.encode()) and b"".join([b[i] for i in y]) == u
@@ -168,6 +172,40 @@ class Aligner:
         return out, before
 
 
+def _ranked(tokenizer, token_bytes: dict[int, bytes]):
+    """The same vocabulary as an encoder by rank, a few times as fast."""
+    import tiktoken
+
+    special = {i for i, x in tokenizer.get_added_tokens_decoder().items()}
+    return tiktoken.Encoding("ranked", pat_str=PRE_TOKEN, special_tokens={},
+                             mergeable_ranks={x: i for i, x in token_bytes.items() if i not in special})
+
+
+def merges_by_rank(path: str) -> bool:
+    """Does an encoder by rank give the tokenizer's ids?  Its merges must stand in the order of
+    the ids they make, and both must agree on every entry that is a text."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model.get("merges", [])]
+    made = [model["vocab"].get("".join(x), -1) for x in merges]
+    if model.get("type") != "BPE" or model.get("ignore_merges") or any(x >= y for x, y in zip(made, made[1:])):
+        return False
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    of_char = _byte_alphabet()
+    known = {i: bytes(of_char[c] for c in t) for t, i in model["vocab"].items() if all(c in of_char for c in t)}
+    texts = []
+    for x in known.values():
+        try:
+            texts.append(x.decode())
+        except UnicodeDecodeError:  # part of a character
+            continue
+    ranked = _ranked(tokenizer, known)
+    return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] == list(map(ranked.encode_ordinary, texts))
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte each character of a byte-level vocabulary stands for: printable Latin-1 bytes
     stand for themselves, the others follow from U+0100 on."""
@@ -248,10 +286,10 @@ class Places:
         return out
 
 
-def _pair_counts(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _pair_counts(rows: DataFrame, path_a: str, path_b: str, by_rank: bool) -> DataFrame:
     """(chunk, shard, pairs, counts): of each batch of documents, how many hold a pair linked."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, part = Aligner(path_a, path_b, with_groups=False), TaskContext.get().partitionId()
+        aligner, part = Aligner(path_a, path_b, with_groups=False, by_rank=by_rank), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             seen = []
             for piece in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
@@ -309,10 +347,10 @@ def _add(vectors: pa.Table) -> pa.Table:
     return pa.table({"shard": vectors.column("shard")[:1], "lane": vectors.column("lane")[:1], "counts": pa.array([total.tobytes()])})
 
 
-def count_table(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def count_table(rows: DataFrame, path_a: str, path_b: str, by_rank: bool = False) -> DataFrame:
     """(shard, sizes, bits, keys, counts): the hashed pairs of all documents and how many
     documents hold each, stored."""
-    chunks = durable(_pair_counts(rows, path_a, path_b))
+    chunks = durable(_pair_counts(rows, path_a, path_b, by_rank))
     pairs = chunks.select("shard", F.explode("pairs").alias("pair")).distinct()
     hashed = durable(pairs.groupBy("shard").applyInArrow(
         _hash_shard, "shard int, sizes array<long>, bits binary, keys binary"))
@@ -363,7 +401,8 @@ def _sections(table: DataFrame) -> list[list[int]]:
 _DOCUMENT = "_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _look_up(rows: DataFrame, path_a: str, path_b: str, section: list, best: np.ndarray, keep_text: bool) -> DataFrame:
+def _look_up(rows: DataFrame, path_a: str, path_b: str, by_rank: bool, section: list, best: np.ndarray,
+             keep_text: bool) -> DataFrame:
     """Align the documents again and add up the counts of the links in one section."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(([_unpack(r.asDict()) for r in section],
@@ -371,7 +410,7 @@ def _look_up(rows: DataFrame, path_a: str, path_b: str, section: list, best: np.
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, counts, best = shared.value
-        place, aligner = Places(shards), Aligner(path_a, path_b)
+        place, aligner = Places(shards), Aligner(path_a, path_b, by_rank=by_rank)
         ids_b, of_unit = len(aligner.bytes_b), np.zeros((0, 2), np.int64)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column("_text").to_pylist()
@@ -422,12 +461,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"),
                        F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
-    table = count_table(rows, path_a, path_b)
+    by_rank = merges_by_rank(path_a)
+    table = count_table(rows, path_a, path_b, by_rank)
     best = _best_counts(table, _size_b(path_b))
     sections = _sections(table)
     for i, shards in enumerate(sections):
         last = i == len(sections) - 1
-        rows = _look_up(rows, path_a, path_b, table.where(F.col("shard").isin(shards)).orderBy("shard").collect(), best, not last)
+        rows = _look_up(rows, path_a, path_b, by_rank, table.where(F.col("shard").isin(shards)).orderBy("shard").collect(), best, not last)
         rows = rows if last else durable(rows)
     return rows.withColumnRenamed("_id", "doc_id")
 
