@@ -158,15 +158,18 @@ def test_alignment_equals_brute_force(spark, both, corpus, section, monkeypatch)
     assert table(found, *COLUMNS) == sorted(brute_rows(both, rows), key=str)
 
 
-def test_units_give_the_tokens_of_the_whole_text(both):
+@pytest.mark.parametrize("by_rank", [False, True])
+def test_units_give_the_tokens_of_the_whole_text(both, by_rank):
+    assert token_alignment.merges_by_rank(A)
+    found = token_alignment.Aligner(A, B, by_rank=by_rank)
     rng = np.random.default_rng(5)
     parts = [" ", "  ", "\n", "\t", "\xa0", "\x85", "\r", "a", "the", "Z", "9", "é", "日", "'s", "<s>", "▁", ".", "}", "😀", "\x1c"]
     for n in rng.integers(1, 9, 1500):
         text = "".join(rng.choice(parts, n))
-        want, units = brute_alignment(both, text), both.read([text])[0][0]
+        want, units = brute_alignment(both, text), found.read([text])[0][0]
         assert (want is None) == (units is None), repr(text)
         if want:
-            assert both.sums[units].sum(axis=0).tolist() == [len(x) for x in want], repr(text)
+            assert found.sums[units].sum(axis=0).tolist() == [len(x) for x in want], repr(text)
 
 
 def test_a_task_that_forgets_units_gives_the_same(both, corpus, monkeypatch):
