@@ -14,9 +14,24 @@ from pairloom.operators import lines as L
 _join = lambda c: F.array_join(c, "\n")
 
 
+#: What makes the texts look like code: calls, operators, literals and comments, some of them open.
+_AS_CODE = (("er ", "er ("), (" the ", " == the"), (" la ", ' "la \\" la" '), (" and ", " /* and"), (" of ", " of */ += "),
+            (" que ", " 'q' -> "), (" und ", " // und "), (" de ", " 0x1F ... "))
+
+
 def _called(spark, sf):
-    """Functions in which names ending in 'er' are called."""
-    return X.functions(spark, sf).withColumn("before", F.replace("before", F.lit("er "), F.lit("er (")))
+    """Functions with calls, literals, comments and operators."""
+    body = F.col("before")
+    for find, put in _AS_CODE:
+        body = F.replace(body, F.lit(find), F.lit(put))
+    return X.functions(spark, sf).withColumn("before", body)
+
+
+def _as_code_sql() -> str:
+    body = "before"
+    for find, put in _AS_CODE:
+        body = "replace({}, '{}', '{}')".format(body, find, put.replace("'", "''"))
+    return body
 
 
 def hunks(spark, sf):
@@ -98,10 +113,9 @@ ORACLES = {
                         and token not in ({_RESERVED}) group by 1, 2)) f
             on t.pair_id = f.pair_id and t.token = f.token group by t.pair_id""",
         "functions",
-        t=r"""select *, lead(token) over (partition by pair_id order by pos) nxt from (
+        t=f"""select *, lead(token) over (partition by pair_id order by pos) nxt from (
                 select pair_id, generate_subscripts(l, 1) pos, unnest(l) token from (
-                    select pair_id, regexp_extract_all(replace(before, 'er ', 'er ('),
-                        '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]') l from functions))"""),
+                    select pair_id, regexp_extract_all({_as_code_sql()}, '{C.C_TOKEN.replace("'", "''")}') l from functions))"""),
     "extract_cwe": sql(
         "select distinct unnest(regexp_extract_all(name, 'CWE-[0-9]+')) cwe from names order by 1", "names"),
     "line_diff": diff_sql("select pair_id, bpos, apos, op, line from diff"),

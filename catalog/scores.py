@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from catalog import fixtures as X
 from catalog.fixtures import NL, WS, sql
@@ -70,13 +70,42 @@ def bow_forest(spark, sf):
     return learn.bow_scores(model, X.functions(spark, sf), "before", "pair_id")
 
 
+def bow_vectors(spark, sf):
+    f = X.functions(spark, sf)
+    bags = learn.bow_vectors(f, "before", learn.feature_index(f, "before"), "pair_id")
+    return bags.select("pair_id", F.size("ids").cast("long").alias("features"), F.array_join(
+        F.zip_with("ids", "counts", lambda i, n: F.concat_ws(":", i.cast("string"), n.cast("string"))), " ").alias("bag"))
+
+
+def embedding_counts(spark, sf):
+    """What is fixed about the seeded vectors: one per text, their size and the token count in them."""
+    vectors = learn.token_embeddings(X.functions(spark, sf), "before", "pair_id", buckets=1 << 12)
+    return vectors.select("pair_id", F.size("embedding").alias("size"),
+                          F.element_at("embedding", -1).cast("long").alias("tokens"))
+
+
 def batch_score(spark, sf):
     """A rule stands for the trained predictor: the longest line of the text."""
     def rule():
-        return lambda texts: [max(t.split("\n"), key=len) for t in texts]
+        import numpy as np
+        import pyarrow.compute as pc
+
+        def longest(texts):
+            lines = pc.split_pattern(texts, "\n")
+            flat, text = lines.flatten(), pc.list_parent_indices(lines).to_numpy()
+            order = np.lexsort((np.arange(len(flat)), -pc.utf8_length(flat).to_numpy(), text))
+            return flat.take(order[np.flatnonzero(np.diff(text[order], prepend=-1))])
+        return longest
     return learn.batch_score(X.functions(spark, sf), "before", "pair_id", rule)
 
 
+def model_score(spark, sf):
+    """A fitted model over whole columns: the number of lines from the length of a text."""
+    f = X.functions(spark, sf)
+    rows = f.withColumn("lines", F.size(C.lines(F.col("before"))).cast("double"))
+    return learn.batch_score(f, "before", "pair_id", learn.length_model(rows, "before", "lines"), T.LongType())
+
+
 def rank_lines(spark, sf):
     return R.rank_lines(X.scored_lines(spark, sf)).select("pair_id", "pos", "y", F.col("rank").cast("long").alias("rank"))
 
@@ -113,6 +142,9 @@ QUERIES = {
     "bow_forest": bow_forest,
     "token_embeddings": lambda s, d: learn.token_embeddings(X.functions(s, d), "before", "pair_id"),
     "batch_score": batch_score,
+    "bow_vectors": bow_vectors,
+    "embedding_counts": embedding_counts,
+    "model_score": model_score,
 }
 
 _CANON = f"""array_to_string(list_filter(list_transform(string_split(%s, {NL}),
@@ -263,6 +295,21 @@ ORACLES = {
     "batch_score": sql(
         """select pair_id, line prediction from lines
            qualify row_number() over (partition by pair_id order by length(line) desc, pos) = 1""", "lines"),
+    "bow_vectors": sql(
+        """select f.pair_id, count(i.token) features,
+               coalesce(string_agg(feature_id || ':' || n, ' ' order by feature_id) filter (where i.token is not null), '') bag
+           from functions f left join bags b on f.pair_id = b.pair_id left join idx i on b.token = i.token group by f.pair_id""",
+        "functions",
+        bags=r"""select pair_id, token, count(*) n from (select pair_id, unnest(regexp_extract_all(before,
+            '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]')) token from functions) group by 1, 2""",
+        idx="select token, row_number() over (order by count(*) desc, token) - 1 feature_id from bags group by token having count(*) >= 2"),
+    "embedding_counts": sql(
+        f"""select pair_id, 17 as size, len(regexp_extract_all(before, '{C.C_TOKEN.replace("'", "''")}')) tokens
+            from functions""", "functions"),
+    "model_score": sql(
+        f"""select pair_id, cast(floor(slope * length(before) + level) as bigint) prediction from functions,
+            (select regr_slope(n, length(before)) slope, regr_intercept(n, length(before)) level
+             from (select before, cast(len(string_split(before, {NL})) as double) n from functions))""", "functions"),
     "compare_variants": sql(
         f"""select variant, setting, {_AS_INT}, {_RATIOS} from (select variant, setting, {_COUNTS} from (
                 select y, sc * 10 >= variant p, cast(variant as int) variant,

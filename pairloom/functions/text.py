@@ -8,6 +8,12 @@ from pyspark.sql import Column, functions as F
 WS = " \t\n\x0b\f\r"
 WS_CLASS = r"[ \t\n\x0B\f\r]"
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]"
+#: Tokens of C: comments and literals whole, then names, numbers, operators of several
+#: characters ("->" is two tokens, as in the published tables) and single marks.
+C_TOKEN = (
+    r"""//[^\n]*|(?s:/\*.*?\*/)|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"""
+    r"""|[A-Za-z_][A-Za-z0-9_]*|[0-9](?:[eEpP][+-]|[A-Za-z0-9_.])*"""
+    r"""|\.\.\.|\+\+|--|<<=|>>=|<<|>>|&&|\|\||[-+*/%&|^!=<>]=|##|[^ \t\n\x0B\f\r]""")
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
 

@@ -40,22 +40,24 @@ def uniquify_lines(df: DataFrame, text: str, row_id: str = "pair_id", keep: Sequ
     return assemble(unique_lines(df, text, row_id, keep), row_id, text, keep)
 
 
-# The reserved words of C, which keep their spelling.
+# The reserved words of C and its integer types of fixed width, which keep their spelling.
 RESERVED = (
     "auto break case char const continue default do double else enum extern float for goto if "
     "inline int long register restrict return short signed sizeof static struct switch typedef "
-    "union unsigned void volatile while"
+    "union unsigned void volatile while "
+    "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t"
 ).split()
 
 
 def normalise_identifiers(df: DataFrame, text: str, row_id: str = "pair_id") -> DataFrame:
-    """Tokens of each text with identifiers renamed FUN1.., VAR1.. by first use.
+    """C tokens of each text with identifiers renamed FUN1.., VAR1.. by first use.
 
-    A name that some ``(`` follows at its first use is a function.  Returns
+    What stands in comments, strings and character literals is no identifier; each of them is
+    one token and stays as it is.  A name that some ``(`` follows at its first use is a function.  Returns
     (row_id, tokens ARRAY<STRING>), with no tokens for an empty or null text.  All windows stay inside one text.
     """
     flat = (df.repartition(row_id)
-            .select(row_id, X.tokens(F.col(text)).alias("_t"))
+            .select(row_id, X.tokens(F.col(text), X.C_TOKEN).alias("_t"))
             .select(row_id, F.explode_outer(_with_call(F.col("_t"))).alias("s"))
             .select(row_id, "s.*"))
     name = F.col("token").rlike(X.IDENTIFIER) & ~F.col("token").isin(RESERVED)

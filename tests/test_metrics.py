@@ -3,7 +3,8 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import functions as F, types as T
 
 from pairloom.operators import learn
 from pairloom.operators import metrics as M
@@ -144,5 +145,30 @@ def test_model_jobs(spark):
     assert sorted(again.collect()) == sorted(scored.select("pair_id", "score", "predicted").collect())
     vectors = learn.token_embeddings(df, "t", "pair_id", size=5).collect()
     assert len(vectors) == 80 and all(len(r.embedding) == 6 for r in vectors)
-    out = learn.batch_score(df, "t", "pair_id", lambda: lambda texts: [t.upper() for t in texts]).collect()
+    out = learn.batch_score(df, "t", "pair_id", lambda: pc.utf8_upper).collect()
     assert {r.pair_id: r.prediction for r in out} == {i: t.upper() for i, t, _ in rows}
+
+
+def test_bags_of_words_are_those_of_the_forest(spark):
+    """No two tokens share a column; ids follow document frequency, then the token."""
+    rows = [(0, "b a a"), (1, "a c b"), (2, "b zz"), (3, ""), (4, None), (5, "only once")]
+    df = spark.createDataFrame(rows, "pair_id long, t string")
+    index = learn.feature_index(df, "t")
+    assert sorted((r.feature_id, r.token, r.df) for r in index.collect()) == [(0, "b", 3), (1, "a", 2)]
+    assert [r.token for r in learn.feature_index(df, "t", min_df=1, features=3).orderBy("feature_id").collect()] == ["b", "a", "c"]
+    bags = {r.pair_id: dict(zip(r.ids, r.counts)) for r in learn.bow_vectors(df, "t", index, "pair_id").collect()}
+    assert bags == {0: {0: 1, 1: 2}, 1: {0: 1, 1: 1}, 2: {0: 1}, 3: {}, 4: {}, 5: {}}
+    model = learn.bow_forest(df.where("t is not null").withColumn("y", F.col("pair_id") % 2), "t", "y", trees=2)
+    assert model.stages[0].vocabulary == ["b", "a"]
+
+
+def test_length_model(spark):
+    df = spark.createDataFrame([(i, "x" * i if i else None, 2.0 * i + 1.5) for i in range(6)], "pair_id long, t string, y double")
+    out = learn.batch_score(df, "t", "pair_id", learn.length_model(df, "t", "y"), T.LongType()).collect()
+    assert {r.pair_id: r.prediction for r in out} == {0: None, **{i: 2 * i + 1 for i in range(1, 6)}}
+
+
+def test_buckets_of_token_vectors(spark):
+    df = spark.createDataFrame([(i, f"long{i} ( long_name{i} ) ;") for i in range(40)], "pair_id long, t string")
+    vectors = learn.token_embeddings(df, "t", "pair_id", size=3, buckets=2).collect()
+    assert {r.embedding[-1] for r in vectors} == {5.0}

@@ -91,3 +91,50 @@ def test_words_and_tokens(column):
     assert column(X.words, " a  b\n") == ["a", "b"]
     assert column(X.words, " \n") == []
     assert column(X.tokens, "a_1+b;") == ["a_1", "+", "b", ";"]
+
+
+def lexed(column, code):
+    return column(lambda c: X.tokens(c, X.C_TOKEN), code)
+
+
+def test_c_tokens(column):
+    assert lexed(column, 'a==b<=c') == ["a", "==", "b", "<=", "c"]
+    assert lexed(column, 'f("x == \\"y\\" // no", \'"\', 1)') == ["f", "(", '"x == \\"y\\" // no"', ",", "\'\"\'", ",", "1", ")"]
+    assert lexed(column, "a /* b == 'c\n\" */ d // e \"f\ng") == ["a", "/* b == 'c\n\" */", "d", '// e "f', "g"]
+    assert lexed(column, "x>>=1.5e-3f;y--->z&&!w...") == ["x", ">>=", "1.5e-3f", ";", "y", "--", "-", ">", "z", "&&", "!", "w", "..."]
+    assert lexed(column, 'it\'s "open\n/* open') == ["it", "'", "s", '"', "open", "/", "*", "open"]
+    assert lexed(column, "") == []
+    long = "x" * 300_000
+    assert lexed(column, f'"{long}" /*{long}*/ {long}') == [f'"{long}"', f"/*{long}*/", long]
+
+
+def test_literals_and_comments_keep_their_words(spark):
+    df = spark.createDataFrame([(1, 'go(a); // go a\nputs("go a"); a == go;')], "pair_id long, t string")
+    assert L.normalise_identifiers(df, "t").first().tokens == [
+        "FUN1", "(", "VAR1", ")", ";", "// go a", "FUN2", "(", '"go a"', ")", ";", "VAR1", "==", "FUN1", ";"]
+
+
+def test_published_tokenization_example(spark):
+    """The example of the detector's tables; there a closing bracket sticks to the token before it
+    and one type name keeps its spelling, here neither."""
+    code = """static void v4l2_free_buffer(void *opaque, uint8_t *unused)
+{
+    V4L2Buffer* avbuf = opaque;
+    V4L2m2mContext *s = buf_to_m2mctx(avbuf);
+    if (atomic_fetch_sub(&avbuf->context_refcount, 1) == 1) {
+        atomic_fetch_sub_explicit(&s->refcount, 1, memory_order_acq_rel);
+        if (s->reinit) {
+            if (!atomic_load(&s->refcount))
+              sem_post(&s->refsync);
+        } else if (avbuf->context->streamon)
+            ff_v4l2_buffer_enqueue(avbuf);
+        av_buffer_unref(&avbuf->context_ref);
+    }
+}
+"""
+    want = """static void FUN1 ( void * VAR1 , uint8_t * VAR2 ) { VAR3 * VAR4 = VAR1 ; VAR5 * VAR6 = FUN2 ( VAR4 ) ;
+        if ( FUN3 ( & VAR4 - > VAR7 , 1 ) == 1 ) { FUN4 ( & VAR6 - > VAR8 , 1 , VAR9 ) ; if ( VAR6 - > VAR10 ) {
+        if ( ! FUN5 ( & VAR6 - > VAR8 ) ) FUN6 ( & VAR6 - > VAR11 ) ; } else if ( VAR4 - > VAR12 - > VAR13 )
+        FUN7 ( VAR4 ) ; FUN8 ( & VAR4 - > VAR14 ) ; } }"""
+    df = spark.createDataFrame([(1, code)], "pair_id long, t string")
+    assert L.normalise_identifiers(df, "t").first().tokens == want.split()
