@@ -14,6 +14,38 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Values that an inner fold of ``fold_list`` takes.
+BLOCK = 512
+
+
+def fold_list(values: Column, start: Column, step, item: str) -> Column:
+    """The list that a fold makes: ``step(state, value)`` gives the next state and an array of
+    new entries of type ``item``.
+
+    A fold copies all of its state at every step, so a list of n entries in it costs n squares.
+    Here an inner fold takes BLOCK values at a time and hands its part on; only the outer fold,
+    with one step a block, carries the whole list.
+    """
+    none = F.array().cast(f"array<{item}>")
+
+    def inner(acc, x):
+        state, new = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], new).alias("out"))
+
+    def blocks(bound):
+        def outer(acc, block):
+            part = F.slice(bound, block * BLOCK + 1, F.lit(BLOCK))
+            done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+            return let(done, lambda r: F.struct(
+                r["state"].alias("state"), F.concat(acc["full"], F.array(r["out"])).alias("full")))
+        first = F.struct(start.alias("state"), F.array().cast(f"array<array<{item}>>").alias("full"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(bound) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(bound) > 0, F.aggregate(numbers, first, outer, lambda acc: F.flatten(acc["full"]))) \
+            .when(F.size(bound) == 0, none)
+
+    return let(values, blocks)
+
+
 def places(size: Column, positions: Column) -> Column:
     """For 0 .. size-1: 1 + the index of that number in ``positions``, or 0.
 

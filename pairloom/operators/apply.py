@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import schema as S
 from pairloom.functions import text as X
 from pairloom.functions import wire
-from pairloom.functions.arrays import let, places
+from pairloom.functions.arrays import fold_list, let, places
 
 _INTS = "array<int>"
 
@@ -35,9 +35,13 @@ def parse_script(injections: Column) -> Column:
 
 
 def locations_present(before: Column, locations: Column) -> Column:
-    """Every stripped location is a substring of the text; no location is fine."""
+    """Every stripped location is a substring of the text; no location is fine.
+
+    Locations that are whole lines are found in one pass; only the others search the text.
+    """
+    stripped = lambda c: F.transform(X.lines(c), X.strip)
     return (locations == S.NO_LOCATIONS) | F.forall(
-        X.lines(locations), lambda x: F.contains(before, X.strip(x)))
+        F.array_except(stripped(locations), stripped(before)), lambda x: F.contains(before, x))
 
 
 def resolve_anchor(keys: Column, anchor: Column) -> Column:
@@ -55,19 +59,14 @@ def _inserts(keys: Column, parsed: Column) -> Column:
     tagged = F.transform(F.filter(parsed, lambda p: p["is_insert"]), lambda p: F.struct(
         resolve_anchor(keys, p["anchor"]).alias("at"), p["ord"].alias("ord"), p["line"].alias("line")))
 
-    def step(acc, x):
-        goes_on = (x["at"].eqNullSafe(acc["at"])) & (x["ord"] == acc["ord"] + 1)
-        grp = acc["grp"] + F.when(goes_on, 0).otherwise(1)
-        return F.struct(
-            grp.alias("grp"), x["at"].alias("at"), x["ord"].alias("ord"),
-            F.concat(acc["out"], F.array(F.struct(
-                x["at"].alias("at"), grp.alias("grp"), x["ord"].alias("ord"),
-                x["line"].alias("line")))).alias("out"))
+    def step(state, x):
+        goes_on = (x["at"].eqNullSafe(state["at"])) & (x["ord"] == state["ord"] + 1)
+        grp = state["grp"] + F.when(goes_on, 0).otherwise(1)
+        return (F.struct(grp.alias("grp"), x["at"].alias("at"), x["ord"].alias("ord")),
+                F.array(F.struct(x["at"].alias("at"), grp.alias("grp"), x["ord"].alias("ord"), x["line"].alias("line"))))
 
-    start = F.struct(
-        F.lit(0).alias("grp"), F.lit(None).cast("int").alias("at"), F.lit(-2).alias("ord"),
-        F.array().cast("array<struct<at:int,grp:int,ord:int,line:string>>").alias("out"))
-    return F.aggregate(tagged, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("grp"), F.lit(None).cast("int").alias("at"), F.lit(-2).alias("ord"))
+    return fold_list(tagged, start, step, "struct<at:int,grp:int,ord:int,line:string>")
 
 
 def matched_lines(keys: Column, locations: Column, limit: Column) -> Column:
@@ -76,14 +75,13 @@ def matched_lines(keys: Column, locations: Column, limit: Column) -> Column:
     A location is consumed at the first later line with the same left-stripped
     text; one that is not found holds up all that follow.
     """
-    def step(acc, key):
-        wanted = F.get(locations, acc["j"])
-        hit = F.coalesce((acc["j"] < limit) & (wanted == key) & (key != ""), F.lit(False))
-        return F.struct(
-            (acc["i"] + 1).alias("i"), (acc["j"] + hit.cast("int")).alias("j"),
-            F.when(hit, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"]).alias("at"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast(_INTS).alias("at"))
-    return F.aggregate(keys, start, step, lambda acc: acc["at"])
+    def step(state, key, most):
+        wanted = F.get(locations, state["j"])
+        hit = F.coalesce((state["j"] < most) & (wanted == key) & (key != ""), F.lit(False))
+        return (F.struct((state["i"] + 1).alias("i"), (state["j"] + hit.cast("int")).alias("j")),
+                F.when(hit, F.array(state["i"])).otherwise(F.array().cast(_INTS)))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return let(limit, lambda most: fold_list(keys, start, lambda state, key: step(state, key, most), "int"))
 
 
 def replaced_line(line: Column, change: Column) -> Column:

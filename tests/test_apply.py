@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import fold_list
 from pairloom.operators import apply as A
 
 
@@ -72,3 +74,29 @@ def test_row_wise_plan(spark):
                                "pair_id long, before string, locations string, injections string")
     plan = A.apply_edits(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_every_line_of_a_long_text_is_replaced(spark):
+    n = 20_000
+    lines = [f"line {i} x" for i in range(n)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "\n".join(lines), "\n".join(f"new {i}" for i in range(n)))],
+                               "pair_id long, before string, locations string, injections string")
+    done = A.apply_edits(df).first()
+    assert (done.status, done.n_applied) == ("ok", n) and done.generated == "\n".join(f"new {i}" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 1600])
+def test_fold_of_a_list(spark, n):
+    """Running sums of even numbers, over block borders."""
+    df = spark.createDataFrame([(list(range(n)), None)], "v array<int>, none array<int>")
+    step = lambda s, x: (s + x, F.when(x % 2 == 0, F.array(s + x)).otherwise(F.array().cast("array<int>")))
+    row = df.select(fold_list(F.col("v"), F.lit(0), step, "int").alias("l"),
+                    fold_list(F.col("none"), F.lit(0), step, "int").alias("none")).first()
+    assert row.l == [x * (x + 1) // 2 for x in range(0, n, 2)] and row.none is None
+
+
+def test_locations_that_are_part_of_a_line(column):
+    present = lambda b, l: A.locations_present(b, l)
+    assert column(present, "a b c\n  d", "b c\n d \na b c") is True
+    assert column(present, "a b c\n  d", "a b c\nx") is False
+    assert column(present, "a", "Empty") is True and column(present, None, "a") is None
