@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.session import durable
 
@@ -119,27 +119,48 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _unfit(vec_id: str, embedding: str) -> Column:
+    """Why a row takes no part, whatever the other rows are; null if it does."""
+    vector = F.col(embedding).cast("array<double>")
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (F.when(F.col(vec_id).isNull(), "no id").when(vector.isNull() | (F.size(vector) == 0), "no vector")
+            .when(~sound, "null or non-finite component").when(~F.exists(vector, lambda x: x != 0), "zero vector"))
+
+
+def _common_length(rows: DataFrame, vector: str) -> int:
+    """The most frequent length, the smaller of two as frequent; 0 without rows."""
+    first = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return first.n if first else 0
+
+
+def left_out(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(vec_id, reason) of the rows that the search cannot use: no id, no vector, a null or
+    non-finite component, a zero vector, or another length than most of the other rows."""
+    why = _unfit(vec_id, embedding)
+    fit = vectors.where(why.isNull())
+    other = F.when(F.size(embedding) != _common_length(fit, embedding), "other length")
+    return vectors.select(vec_id, F.coalesce(why, other).alias("reason")).where(F.col("reason").isNotNull())
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k nearest rows, by inner product, of every row with ``is_query``.
 
     Columns: query_id, rank (from 1), vec_id, score.  Ties go to the smaller id.  All rows are
-    candidates but those with the query's own id.  Rows with a null id, a null or zero vector,
-    a null or non-finite component, or another length than the longest take no part.  A query
-    with fewer than k candidates gets them all.  Repeated rows are one row.  An empty table
-    gives an empty result.
+    candidates but those with the query's own id.  Rows that ``left_out`` names take no part.  A
+    query with fewer than k candidates gets them all.  Repeated rows, equal in id and vector,
+    are one row; rows that share an id only are rows of their own, and each is ranked for by
+    itself if it is a query.  An empty table gives an empty result.  Other columns are not read.
 
     Rotation and radius are fitted on at most SAMPLE rows, taken by the hash of the id; every
     row is indexed.  Blocks of rows meet blocks of queries by key; a task holds one of each,
     and hands on k rows per query.
     """
     spark = vectors.sparkSession
-    vector = F.col(embedding).cast("array<double>")
-    usable = (F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-              & F.exists(vector, lambda x: x != 0))
-    rows = durable(vectors.where(usable).select(F.col(vec_id).cast("long").alias("_id"), vector.alias("_v"),
-                                                is_query.alias("_query")).dropDuplicates(["_id"]))
-    stats = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.size("_v"))).first()
-    rows = rows.where(F.size("_v") == F.lit(stats[2] or 0))
+    rows = durable(vectors.where(_unfit(vec_id, embedding).isNull()).select(
+        F.col(vec_id).cast("long").alias("_id"), F.col(embedding).cast("array<double>").alias("_v"),
+        is_query.alias("_query")).dropDuplicates(["_id", "_v"]))
+    rows = rows.where(F.size("_v") == _common_length(rows, "_v"))
+    stats = rows.agg(F.count("*"), F.count_if("_query")).first()
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_v").collect()
     drawn = np.array([r._v for r in sample], dtype=np.float64) if sample else np.zeros((0, 1))
     rotation = learn_rotation(drawn)
@@ -154,16 +175,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         if len(left) and len(right):
             index = Index(left["_id"].to_numpy(), _matrix(left["_v"]), shared.value)
             asked = _matrix(right["_v"])
-            for query, v, code in zip(right["_id"].to_numpy(), asked, codes_of(asked, shared.value)):
+            for query, row, v, code in zip(right["_id"].to_numpy(), right["_row"].to_numpy(), asked, codes_of(asked, shared.value)):
                 ids, score = index.nearest(query, v, code, radius, k)
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-            {"query_id": "int64", "vec_id": "int64"})
+                out.append(pd.DataFrame({"query_id": query, "_row": row, "vec_id": ids, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "_row": [], "vec_id": [], "score": []}).astype(
+            {"query_id": "int64", "_row": "int64", "vec_id": "int64"})
 
     data = rows.select(block(1, row_blocks).alias("_r"), every(query_blocks).alias("_q"), "_id", "_v")
-    asked = rows.where("_query").select(every(row_blocks).alias("_r"), block(2, query_blocks).alias("_q"), "_id", "_v")
+    asked = rows.where("_query").select(every(row_blocks).alias("_r"), block(2, query_blocks).alias("_q"), "_id", "_v",
+                                          F.xxhash64("_v").alias("_row"))
     found = (data.groupBy("_r", "_q").cogroup(asked.groupBy("_r", "_q"))
-             .applyInPandas(find, "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInPandas(find, "query_id long, _row long, vec_id long, score double"))
+    order = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

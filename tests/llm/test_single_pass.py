@@ -88,6 +88,24 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.search(df.where("vec_id > 5"), F.lit(True), 20).collect() == []
 
 
+def test_one_malformed_vector_removes_no_other_row(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(40)] + [(90, [1.0, 2.0, 3.0]), (91, [1.0]), (None, [1.0, 1.0]), (92, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(0, 39), (0, 38), (0, 37), (20, 39), (20, 38), (20, 37)]
+    assert sorted(map(tuple, neighbours.left_out(df).collect()), key=str) == [
+        (90, "other length"), (91, "other length"), (92, "no vector"), (None, "no id")]
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [0.0, 5.0]), (1, [0.0, 5.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 3.0), (2, 2.0), (1, 0.0)]
+    twice = neighbours.search(df, F.col("vec_id") == 1, 20).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in twice) == [(1, 0, 0.0), (1, 2, 6.0), (2, 0, 3.0), (2, 2, 0.0)]
+
+
 def test_url_rules_and_parts(spark):
     rules = [url_filter.rule(x) for x in queries.URL_RULES]
     cases = {
