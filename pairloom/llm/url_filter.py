@@ -11,6 +11,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.functions.arrays import let
 from pairloom.llm.tables import ascii_lower
 
 #: Hash buckets, n-gram lengths, and the most rows that the regression is fitted on.
@@ -62,10 +63,15 @@ def first_rule(rules: Sequence[Rule], of_host: Column, of_path: Column) -> tuple
 def grams(of_host: Column, of_path: Column, lengths: Sequence[int] = GRAMS) -> Column:
     """Character n-grams of host and path, marked by the part they are from."""
     def cut(mark: str, c: Column) -> Column:
-        padded = F.concat(F.lit("^"), c, F.lit("$"))
-        return F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)),
-                        lambda i, n=n: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n)))) for n in lengths]))
+        # Characters are cut once; a substring per place would walk the text again for each.
+        def of_length(chars, n):
+            def gram(i):
+                return F.concat(F.lit(mark), *[F.coalesce(F.get(chars, i + j), F.lit("")) for j in range(n)])
+            return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(chars) - n)), gram)
+
+        def joined(chars):
+            return F.flatten(F.array(*[of_length(chars, n) for n in lengths]))
+        return let(F.split(F.concat(F.lit("^"), c, F.lit("$")), ""), joined)
     return F.array_distinct(F.concat(cut("h", of_host), cut("p", of_path)))
 
 

@@ -106,6 +106,21 @@ def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in twice) == [(1, 0, 0.0), (1, 2, 6.0), (2, 0, 3.0), (2, 2, 0.0)]
 
 
+def test_grams_are_all_substrings(spark):
+    urls = ["x", "", "é日😀.com", "www.example.com", "a" * 40]
+    df = spark.createDataFrame([(u, "/" + u[::-1]) for u in urls], "h string, p string")
+    for row in df.select("h", "p", url_filter.grams(F.col("h"), F.col("p"), (2, 3, 5)).alias("g")).collect():
+        want = {m + t[i:i + n] for m, t in (("h", f"^{row.h}$"), ("p", f"^{row.p}$")) for n in (2, 3, 5)
+                for i in range(max(1, len(t) - n + 1))}
+        assert set(row.g) == want and len(row.g) == len(want)
+
+
+def test_very_long_urls_are_judged(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/" + "xy%3" * 250_000), (2, "h" * 1_000_000), (3, "http://" + "b" * 300_000)], "page_id long, url string")
+    model = url_filter.train(queries.labelled_urls(spark).limit(60))
+    assert {r.page_id: len(r._host) for r in url_filter.judge(pages, [], model).collect()} == {1: 5, 2: 0, 3: 300_000}
+
+
 def test_url_rules_and_parts(spark):
     rules = [url_filter.rule(x) for x in queries.URL_RULES]
     cases = {
