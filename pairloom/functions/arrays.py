@@ -30,7 +30,8 @@ def fold_list(values: Column, start: Column, step, item: str) -> Column:
 
     def inner(acc, x):
         state, new = step(acc["state"], x)
-        return F.struct(state.alias("state"), F.concat(acc["out"], new).alias("out"))
+        out = F.when(F.size(new) > 0, F.concat(acc["out"], new)).otherwise(acc["out"])
+        return F.struct(state.alias("state"), out.alias("out"))
 
     def blocks(bound):
         def outer(acc, block):

@@ -34,14 +34,20 @@ def parse_script(injections: Column) -> Column:
     return F.transform(X.lines(injections), parse)
 
 
+#: So many locations search the text one by one.
+FEW_LOCATIONS = 200
+
+
 def locations_present(before: Column, locations: Column) -> Column:
     """Every stripped location is a substring of the text; no location is fine.
 
-    Locations that are whole lines are found in one pass; only the others search the text.
+    Of many locations, those that are whole lines are found in one pass, and only the others
+    search the text; each of a few searches it.
     """
     stripped = lambda c: F.transform(X.lines(c), X.strip)
-    return (locations == S.NO_LOCATIONS) | F.forall(
-        F.array_except(stripped(locations), stripped(before)), lambda x: F.contains(before, x))
+    inside = lambda wanted: F.forall(wanted, lambda x: F.contains(before, x))
+    return (locations == S.NO_LOCATIONS) | let(stripped(locations), lambda wanted: F.when(
+        F.size(wanted) <= FEW_LOCATIONS, inside(wanted)).otherwise(inside(F.array_except(wanted, stripped(before)))))
 
 
 def resolve_anchor(keys: Column, anchor: Column) -> Column:
