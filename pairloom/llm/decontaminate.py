@@ -11,7 +11,9 @@ and length bounds), and all its words must be equal.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pairloom.llm.tables import bitmap_of, durable, in_bitmap, size_checked
 
 #: Words of a window, and of its shingles at most.
 WINDOW, SHINGLE = 10, 3
+#: Bytes of text that a task takes apart at a time.
+BLOCK = 1 << 20
 
 #: The same for bytes: A-Z to a-z, every other ASCII character between words to a space.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -35,10 +39,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
+def word_hashes(words: Iterable[bytes], count: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=count)
+
+
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """One 64-bit hash for every ``size`` consecutive words."""
-    h = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
-    last = len(words) - size + 1
+    return join_hashes(word_hashes(words, len(words)), size)
+
+
+def join_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """One hash for every ``size`` consecutive hashes of words."""
+    last = len(h) - size + 1
     if last <= 0:
         return np.zeros(0, dtype=np.int64)
     s = np.full(last, size, dtype=np.uint64)
@@ -48,6 +60,40 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return (s ^ (s >> np.uint64(32))).view(np.int64)
 
 
+def _blocks(column: pa.Array) -> Iterator[list[list[bytes]]]:
+    """Words of every text of a column, in order, about BLOCK bytes of text at a time.
+
+    The bytes are read where Arrow holds them; a longer text is a block of its own.
+    """
+    column = column.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    if not len(column):
+        return
+    ends = np.frombuffer(ends, dtype=wide)[column.offset:column.offset + len(column) + 1].tolist()
+    first = 0
+    while first < len(column):
+        last = max(first + 1, bisect_right(ends, ends[first] + BLOCK) - 1)
+        low = ends[first]
+        text = data[low:ends[last]].to_pybytes().translate(_TO_WORDS) if ends[last] > low else b""
+        yield [text[x - low:y - low].split() for x, y in pairwise(ends[first:last + 1])]
+        first = last
+
+
+def _matches(texts: list[list[bytes]], sizes: Sequence[int], bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every size, where in the joined words a shingle within one text is in the bitmap, and its hash."""
+    counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    h = word_hashes(chain.from_iterable(texts), int(counts.sum()))
+    ends = np.repeat(np.cumsum(counts), counts)
+    found = []
+    for size in sizes:
+        s = join_hashes(h, size)
+        at = np.flatnonzero(in_bitmap(bits, s))
+        at = at[at + size <= ends[at]]
+        found.append((at, s[at]))
+    return found
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of every item, each with the hashes of its shingles."""
     for batch in batches:
@@ -76,16 +122,11 @@ def windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id")
             .mapInArrow(_cut, "item_id string, size int, length int, words string, shingles array<long>"))
 
 
-def _frequencies(docs: DataFrame, bits, text: str) -> DataFrame:
+def _frequencies(docs: DataFrame, bits, sizes: Sequence[int], text: str) -> DataFrame:
     """How often each shingle of the benchmark occurs in the corpus (counted in every task first)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for t in batch.column("_text").to_pylist():
-                words = words_of(t)
-                for size in range(1, SHINGLE + 1):
-                    h = shingle_hashes(words, size)
-                    found.append(h[in_bitmap(bits.value, h)])
+            found = [h for texts in _blocks(batch.column("_text")) for _, h in _matches(texts, sizes, bits.value)]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["_h", "n"])
 
@@ -101,7 +142,7 @@ def prefixes(cut: DataFrame, frequency: DataFrame) -> DataFrame:
             .agg(F.min(rank).alias("_r")).select("item_id", "length", "words", "_r._h", "_r.offset"))
 
 
-def _candidates(docs: DataFrame, bits, text: str, doc_id: str) -> DataFrame:
+def _candidates(docs: DataFrame, bits, sizes: Sequence[int], text: str, doc_id: str) -> DataFrame:
     """Per document its word count and the places whose shingle may be a prefix.
 
     A place carries the words around it as far as a window can reach, so that the check of
@@ -112,16 +153,17 @@ def _candidates(docs: DataFrame, bits, text: str, doc_id: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, places = [], []
-            for t in batch.column("_text").to_pylist():
-                words, mine = words_of(t), []
-                n.append(len(words))
-                for size in range(1, SHINGLE + 1):
-                    h = shingle_hashes(words, size)
-                    for p in np.flatnonzero(in_bitmap(bits.value, h)).tolist():
+            for texts in _blocks(batch.column("_text")):
+                mine: list[list[dict]] = [[] for _ in texts]
+                starts = np.cumsum([0, *map(len, texts)])
+                for at, hashes in _matches(texts, sizes, bits.value):
+                    rows = np.searchsorted(starts, at, side="right") - 1
+                    for row, p, h in zip(rows.tolist(), (at - starts[rows]).tolist(), hashes.tolist()):
                         left = max(0, p - around)
-                        near = b" ".join(words[left:p + WINDOW]).decode("utf-8", "surrogatepass")
-                        mine.append({"_h": int(h[p]), "at": p, "left": left, "near": near})
-                places.append(mine)
+                        near = b" ".join(texts[row][left:p + WINDOW]).decode("utf-8", "surrogatepass")
+                        mine[row].append({"_h": h, "at": p, "left": left, "near": near})
+                n += map(len, texts)
+                places += mine
             kind = pa.list_(pa.struct([("_h", pa.int64()), ("at", pa.int32()), ("left", pa.int32()),
                                        ("near", pa.string())]))
             yield pa.RecordBatch.from_arrays(
@@ -155,10 +197,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     # The benchmark and its windows do not grow with the corpus.  Their size is checked by
     # the planner before it broadcasts them; tasks get fixed-size bitmaps only.
     cut = size_checked(windows(benchmark, text, item_id).distinct())
+    sizes = [r.size for r in cut.select("size").distinct().orderBy("size").collect()]  # SHINGLE at most
     in_windows = context.broadcast(bitmap_of(cut.select(F.explode("shingles").alias("_h")), "_h"))
-    rarest = size_checked(prefixes(cut, _frequencies(docs, in_windows, text)))
+    rarest = size_checked(prefixes(cut, _frequencies(docs, in_windows, sizes, text)))
     in_prefixes = context.broadcast(bitmap_of(rarest, "_h"))
-    rows = durable(_candidates(docs, in_prefixes, text, doc_id))
+    rows = durable(_candidates(docs, in_prefixes, sizes, text, doc_id))
 
     start = F.col("at") - F.col("offset")
     words = F.slice(F.split("near", " "), start - F.col("left") + 1, F.col("length"))
