@@ -19,6 +19,8 @@ from pairloom.session import durable
 FIRST_PROBES, PROBES = 16384, 512
 #: Distance of a splitter from its target, as a share of the mean bytes of a shard.
 TOLERANCE = 0.001
+#: Rows with one text stay together up to this share of the mean bytes of a shard.
+GROUP = 0.05
 #: Sort key: hash of the text, then the id, then the row's place in the stored table, so
 #: that one text or id with a third of all rows can still be cut.
 KEY = ("_h", "_d", "_s")
@@ -87,17 +89,19 @@ def _histogram(rows: DataFrame, intervals: list[Interval], probes: int) -> dict[
     return out
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[Splitter]:
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, group: float = GROUP) -> list[Splitter]:
     """Lower ends of the shards 1, 2, ... of stored rows with columns _size, _h, _d and _s.
 
     Only counts per boundary come to the driver, for fewer than ``shards`` intervals a
     round.  Each round narrows an interval by the number of probes; when it has shrunk to
-    one text or one id, the next level of the key goes on.
+    one text or one id, the next level of the key goes on.  One text with at most ``group``
+    of a shard's mean bytes is not cut: the splitter goes to its nearer end.
     """
     whole = rows.agg(F.sum("_size").alias("bytes"), F.min("_h").alias("low"), F.max("_h").alias("high")).first()
     if whole.bytes is None:
         return []
-    total, slack = int(whole.bytes), tolerance * int(whole.bytes) / shards
+    total, mean = int(whole.bytes), int(whole.bytes) / shards
+    slack = tolerance * mean
     # Targets in whole bytes; several may fall on one place if there are few rows.
     active = [Interval((), whole.low, whole.high, 0, tuple(total * i // shards for i in range(1, shards)))]
     found: list[tuple[int, Splitter]] = []
@@ -113,7 +117,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
                 for t in inside:
                     start, end = t - below, below + b.bytes - t
                     near = Splitter(interval.outer + ((b.low,) if start <= end else (b.high,)), start > end)
-                    last = b.n == 1 or b.low == b.high and len(interval.outer) == len(KEY) - 1
+                    small = not interval.outer and b.bytes <= group * mean
+                    last = b.n == 1 or b.low == b.high and (small or len(interval.outer) == len(KEY) - 1)
                     if min(start, end) <= slack or last:
                         found.append((t, near))
                     else:
@@ -136,7 +141,7 @@ def _shard(cuts: list[Splitter], first: int = 0) -> Column:
 
 
 def shard(docs: DataFrame, shards: int, size: Column, text: str = "text", doc_id: str = "doc_id",
-          tolerance: float = TOLERANCE) -> DataFrame:
+          tolerance: float = TOLERANCE, group: float = GROUP) -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal ``size``.
 
     Adds ``shard`` and ``slot`` (gapless from 0 in each shard) to the columns of ``docs``; a
@@ -144,8 +149,9 @@ def shard(docs: DataFrame, shards: int, size: Column, text: str = "text", doc_id
     exchanged once, by shard and key, into as many tasks as the session has shuffle
     partitions, so that neither a shard nor a hot text is bound to one task.
 
-    Rows with equal texts stand together.  They share a shard unless a boundary within the
-    tolerance lies inside them.  A null text is a text of its own, a null id comes before all
+    Rows with equal texts stand together.  They share a shard unless they hold more than
+    ``group`` of a shard's mean bytes; then they are cut where it is due.  So a splitter is off
+    its target by the tolerance, half a group or half a row, whichever is most.  A null text is a text of its own, a null id comes before all
     ids, repeated rows are cut by their place.  With fewer rows than shards some shards stay
     empty; an empty table gives an empty result.
     """
@@ -155,7 +161,7 @@ def shard(docs: DataFrame, shards: int, size: Column, text: str = "text", doc_id
     rows = durable(docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), size.cast("long").alias("_size"),
         F.xxhash64(text).alias("_h"), number.alias("_d"), F.monotonically_increasing_id().alias("_s")))
-    cuts = splitters(rows, shards, tolerance)
+    cuts = splitters(rows, shards, tolerance, group)
     order = ["_shard", *KEY]
     placed = (rows.withColumn("_shard", _shard(cuts)).repartitionByRange(*order).sortWithinPartitions(*order)
               .select("_row", "_shard", F.monotonically_increasing_id().alias("_at")))
