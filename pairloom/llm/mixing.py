@@ -17,8 +17,11 @@ from pairloom.llm.tables import size_checked
 from pairloom.session import durable
 
 LEVELS = ("domain", "lang", "source")
-#: A leaf's documents are spread over 16 ** SLICE_DIGITS slices of the seeded order.
-SLICE_DIGITS = 3
+#: A leaf's documents are spread over 16 ** SLICE_DIGITS slices of the seeded order, and the slice
+#: on the cut again, until it holds about SLICE_ROWS rows, which one task puts in order.
+SLICE_DIGITS, SLICE_ROWS = 3, 1 << 16
+#: Equal rows are written this many at a time.
+COPIES = 4096
 #: Label of a null domain, language or source.
 NONE = "(none)"
 
@@ -91,11 +94,14 @@ def mix(docs: DataFrame, domain: Column, total: Column, weights: Sequence[Column
 
     A leaf takes whole epochs first.  In the last one it takes the documents whose running
     total in the seeded order of that epoch stays within what is left.  The running total
-    goes over slices of the order first, and row by row only inside the slice where the
-    leaf's budget ends, so no task sees a whole leaf, however hot.
-
-    Null levels count as "(none)"; null and blank texts have 0 tokens; equal rows stand side
-    by side in the order, each with a result of its own.  An empty table gives an empty one.
+    goes over slices of the order first, then over slices of the slice where the leaf's budget
+    ends, and row by row only inside a slice of about SLICE_ROWS rows, so no task sees a whole
+    leaf, however hot.  The order is that of a hash of id and text, so null or repeated ids
+    spread too; rows equal in both are counted first and stand side by side.
+
+    Null levels count as "(none)"; null and blank texts have 0 tokens; each of several equal
+    rows has a result of its own.  An empty table gives an empty one.  Very long texts are
+    counted whole; only their hash and count go on.  Other columns are not read.
     """
     label = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     rows = durable(docs.select(
@@ -103,28 +109,51 @@ def mix(docs: DataFrame, domain: Column, total: Column, weights: Sequence[Column
         label(F.col("lang")).alias("lang"), label(F.col("source")).alias("source"),
         word_count(F.col(text)).alias("tokens"), F.xxhash64(text).alias("text_key")))
     leaf = list(LEVELS)
-    leaves = size_checked(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")))
+    leaves = size_checked(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
+    most = leaves.agg(F.max("rows")).first()[0] or 0
     plan = leaf_budgets(leaves, total, epochs, weights)
     plan = size_checked(plan.select(
         *leaf, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("int").alias("_full"),
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).alias("_part")))
 
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("_full"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = (rows.join(plan, leaf).withColumn("_place", place)
-              .withColumn("_slice", F.substring("_place", 1, SLICE_DIGITS)))
-    slices = placed.groupBy(*leaf, "_slice", "_part").agg(F.sum("tokens").alias("_sum"))
-    upto = Window.partitionBy(*leaf).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = size_checked(
-        slices.withColumn("_upto", F.sum("_sum").over(upto)).where("_upto > _part").groupBy(*leaf)
-        .agg(F.min("_slice").alias("_cut"), F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
-    placed = placed.join(cut, leaf, "left")
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("_full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                              F.col("text_key")))
+    placed = rows.join(plan, leaf).withColumn("_place", place)
+    digits = SLICE_DIGITS
+    cut = _cuts(placed.withColumn("_before", F.lit(0).cast("long")), leaf, digits)
+    while most > SLICE_ROWS * 16 ** digits:
+        inside = placed.join(cut, leaf).where(F.substring("_place", 1, digits) == F.col("_cut"))
+        digits += SLICE_DIGITS
+        cut = _cuts(inside, leaf, digits)
+    placed = placed.withColumn("_slice", F.substring("_place", 1, digits)).join(cut, leaf, "left")
 
-    inside = Window.partitionBy(*leaf).orderBy("_place", "tokens", "text_key").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
     on_cut = F.col("_slice").eqNullSafe(F.col("_cut"))
     clear = placed.where(~on_cut).withColumn(
         "_taken", (F.col("_part") > 0) & (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))))
-    edge = placed.where(on_cut).withColumn(
-        "_taken", (F.col("_part") > 0) & (F.col("_before") + F.sum("tokens").over(inside) <= F.col("_part")))
-    return clear.unionByName(edge).select(
+    return clear.unionByName(_on_cut(placed.where(on_cut), leaf), allowMissingColumns=True).select(
         "doc_id", *leaf, "tokens", (F.col("_full") + F.col("_taken").cast("int")).alias("copies"), "text_key")
+
+
+def _cuts(placed: DataFrame, leaf: Sequence[str], digits: int) -> DataFrame:
+    """The slice of every leaf in which its budget ends (``_cut``), and the tokens before it."""
+    slices = (placed.groupBy(*leaf, F.substring("_place", 1, digits).alias("_slice"), "_part", "_before")
+              .agg(F.sum("tokens").alias("_sum")))
+    upto = Window.partitionBy(*leaf).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return size_checked(
+        slices.withColumn("_upto", F.col("_before") + F.sum("_sum").over(upto)).where("_upto > _part").groupBy(*leaf)
+        .agg(F.min("_slice").alias("_cut"), F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
+
+
+def _on_cut(edge: DataFrame, leaf: Sequence[str]) -> DataFrame:
+    """Rows of the slices on the cut, with ``_taken``; equal rows are one row until they are written."""
+    own = [*leaf, "doc_id", "tokens", "text_key", "_place", "_full", "_part", "_before"]
+    upto = Window.partitionBy(*leaf).orderBy("_place", "tokens", "text_key", "doc_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    size = F.col("tokens") * F.col("_n")
+    room = F.col("_part") - F.col("_before") - F.sum(size).over(upto) + size
+    fit = F.when((F.col("_part") <= 0) | (F.col("_room") < 0), 0).when(F.col("tokens") == 0, F.col("_n")).otherwise(
+        F.least(F.col("_n"), F.expr("_room div tokens")))
+    counted = edge.groupBy(*own).agg(F.count("*").alias("_n")).withColumn("_room", room).withColumn("_fit", fit)
+    return (counted.withColumn("_block", F.expr(f"explode(sequence(0L, (_n - 1) div {COPIES}))"))
+            .withColumn("_i", F.expr(f"explode(sequence(_block * {COPIES} + 1, least(_n, (_block + 1) * {COPIES})))"))
+            .withColumn("_taken", F.col("_i") <= F.col("_fit")).drop("_n", "_room", "_fit", "_block", "_i"))
