@@ -2,9 +2,10 @@
 
 The words around each cue are cut into blocks of bounded length, which overlap by more than a
 notice.  A block is compressed with each template as a raw zstandard dictionary, which ranks the
-templates by the share of their own saving that they reach.  A notice is confirmed by the exact
-words in which template and nearest stretch of the block differ, whatever stands around it and
-however little it saves; without a confirmed one the ranking gives an unconfirmed candidate.
+templates by the share of their own saving that they reach.  Those that reach enough are the
+candidates; a notice of a candidate is confirmed by the exact words in which template and nearest
+stretch of the block differ, whatever stands around it.  Without a confirmed one the ranking gives
+an unconfirmed candidate.
 """
 
 from __future__ import annotations
@@ -54,6 +55,10 @@ CUES = ("(?i)licen[sc]|copyright|permission is hereby|permission to use|redistri
         .replace(" ", _GAP))
 #: An unconfirmed candidate saves at least this share of what it saves on its own wording.
 LEAST_SAVING = 0.3
+#: A template is a candidate, and only then compared word by word, if the block saves at least this
+#: share of what its own wording saves.  Text around a notice makes its letters cheaper, so that a whole
+#: notice in a long block saves about half.
+CANDIDATE = 0.25
 #: A notice is confirmed if at most this share of the template's words is missing or changed.
 MOST_CHANGED = 0.2
 LEVEL = 9
@@ -122,11 +127,26 @@ class Scanner:
         self.missing = {name: costs_of(w) for name, (_, w) in self.by_name.items()}
         self.marks = {name: set().union(*map(marks_of, w)) for name, (_, w) in self.by_name.items()}
 
-    def ranked(self, words: list[str]) -> list[tuple[float, str]]:
-        """Templates by the share of their own saving that they reach on the block, best first."""
-        block = " ".join(words).encode("utf-8", "surrogatepass")
-        own = len(self.plain.compress(block))
-        return sorted(((own - len(c.compress(block))) / self.gain[name], name) for name, (c, _) in self.by_name.items())[::-1]
+    def ranked(self, words: list[str], cues: list[int]) -> list[tuple[float, str]]:
+        """Templates by the share of their own saving that they reach at any of the cues, best first.
+
+        Compressed are the words around the cue, as far on both sides as a notice of the template
+        can reach, and the whole block: long text makes letters cheap and so hides a short notice,
+        while a short block may be too small to be compressed at all.
+        """
+        own: dict[tuple[int, int], tuple[bytes, int]] = {}
+        best = []
+        for name, (packer, wanted) in self.by_name.items():
+            reach, most = int(len(wanted) * (1 + MOST_CHANGED)), 0.0
+            around = {(max(0, cue - reach), min(len(words), cue + reach + 1)) for cue in cues}
+            for at in around | {(0, len(words))}:
+                if at not in own:
+                    block = " ".join(words[at[0]:at[1]]).encode("utf-8", "surrogatepass")
+                    own[at] = block, len(self.plain.compress(block))
+                block, size = own[at]
+                most = max(most, (size - len(packer.compress(block))) / self.gain[name])
+            best.append((most, name))
+        return sorted(best)[::-1]
 
     def differences(self, name: str, words: list[str]) -> list[str]:
         """Template words that the block lacks, and words it has inside the matched stretch instead."""
@@ -201,9 +221,10 @@ class Scanner:
         for low, high in ranges:
             for a in range(low, max(low + 1, high - self.reach), 2 * self.reach):
                 b = min(high, a + 3 * self.reach)
-                order = self.ranked(words[a:b])
+                order = self.ranked(words[a:b], [i - a for i in cues if a <= i < b])
                 near = [(x, name) for x, name in order if x >= LEAST_SAVING]
-                spans = [(a + c, a + d, name, x) for x, name in order for c, d in self.stretches(name, words[a:b])]
+                spans = [(a + c, a + d, name, x) for x, name in order if x >= CANDIDATE
+                         for c, d in self.stretches(name, words[a:b])]
                 sure.update({(c, d, name): x for c, d, name, x in spans})
                 if near and not spans:
                     here = raw[at[a]:at[b - 1] + 1]
@@ -250,6 +271,12 @@ def document_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
 
     Columns: doc_id, n_notices (confirmed ones), licenses (sorted, comma-joined, "" without
     any), exact (all confirmed notices have the template's very words; null without any).
+
+    One row for each row of ``docs``: repeated rows and null or repeated ids keep rows of their
+    own.  Null and empty texts have no notice; an empty table gives an empty one, and without
+    templates nothing is found.  Whole texts are read, of any length.  Of candidates with equal
+    shares the later name is ranked first, which decides nothing: all candidates are compared.
+    Columns other than text and id are not read, so their names cannot clash.
     """
     rows = durable(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("_id"),
                                F.when(F.col(text).rlike(CUES), F.col(text)).alias("_text")))
