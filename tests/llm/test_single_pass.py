@@ -1,5 +1,6 @@
 """Shards, mixture, search, url filter, licenses, token counts and languages."""
 
+import hashlib
 import textwrap
 
 import numpy as np
@@ -35,6 +36,47 @@ def test_shards_are_even_and_slots_gapless(spark, texts):
         assert len(total) == 8 and max(total) - min(total) <= 2 * max(map(size, rows))
 
 
+def test_groups_of_equal_texts_are_cut_only_if_large(spark):
+    texts = [f"text {i // 3} " + "x" * (i // 3 % 40) for i in range(1800)] + ["hot"] * 900
+    rows = shards_of(docs(spark, [(i % 7, t, "en", "src0") for i, t in enumerate(texts)]), 8)
+    at, total = {}, {}
+    for r in rows:
+        at.setdefault(r.text, set()).add(r["shard"])
+        total[r["shard"]] = total.get(r["shard"], 0) + len(r.text) + 16
+    assert all(len(x) == 1 for t, x in at.items() if t != "hot") and len(at["hot"]) > 1
+    mean = sum(total.values()) / 8
+    assert all(abs(x - mean) <= 2 * 3 * 70 for x in total.values())
+
+
+def test_very_long_text_in_shards_and_mixture(spark):
+    rows = [(i, "long " * 400_000 if i == 3 else f"t {i}", "en", "src0") for i in range(50)]
+    assert sorted(r.slot for r in shards_of(docs(spark, rows), 1)) == list(range(50))
+    got = mixing.mix(docs(spark, rows), F.lit("d"), F.col("corpus"), [F.lit(1)] * 3).collect()
+    assert {r.copies for r in got} == {1} and max(r.tokens for r in got) == 400_000
+
+
+@pytest.mark.parametrize("digits, most", [(3, 1 << 16), (1, 1)])
+def test_mixture_equals_brute_force(spark, monkeypatch, digits, most):
+    monkeypatch.setattr(mixing, "SLICE_DIGITS", digits)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", most)
+    rows = [(None, f"null {i} " + "w " * (i % 11), "en", "a") for i in range(700)]
+    rows += [(5, "five words are in this", "en", "a")] * 400 + [(6, None, "en", "a")] * 30 + [(i, f"t {i}", "en", "a") for i in range(200)]
+    take = lambda total: mixing.mix(docs(spark, rows), F.lit("d"), F.lit(total), [F.lit(1)] * 3, epochs=2, seed=4).collect()
+    tokens = sum(len((t or "").split()) for _, t, _, _ in rows)
+    place = lambda r: hashlib.md5(f"4:1:{'' if r.doc_id is None else r.doc_id}:{r.text_key}".encode()).hexdigest()
+    got = take(tokens + tokens // 2)
+    # The second budget ends inside the rows that are equal.
+    five = min(place(r) for r in got if r.doc_id == 5 and r.tokens == 5)
+    for part, got in ((tokens // 2, got), (lambda n: (n, take(tokens + n)))(sum(r.tokens for r in got if place(r) < five) + 1002)):
+        assert len(got) == len(rows)
+        run, want = 0, []
+        for r in sorted(got, key=place):
+            run += r.tokens
+            want.append((r.doc_id or 0, r.text_key, 1 + (run <= part)))
+        assert sorted((r.doc_id or 0, r.text_key, r.copies) for r in got) == sorted(want)
+    assert sum(r.copies for r in got if r.doc_id == 5 and r.tokens == 5) == 400 + 200
+
+
 def test_mixture_redistributes_to_siblings_first(spark):
     leaves = spark.createDataFrame([
         ("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d0", "de", "a", 1000), ("d1", "en", "a", 1000)],
@@ -162,6 +204,37 @@ def licenses_of(spark, texts):
     return [(r.licenses, r.n_notices, r.exact) for r in rows]
 
 
+def test_licenses_come_through_the_ranking(monkeypatch):
+    text = " ".join(["prose"] * 30) + " " + licenses.TEMPLATES["MPL-2.0"] + " more. " + licenses.TEMPLATES["MIT"]
+    found = lambda: {n[1] for n in licenses.Scanner(licenses.TEMPLATES).notices(text) if n[4]}
+    assert found() == {"MPL-2.0", "MIT"}
+    ranked = licenses.Scanner.ranked
+    with monkeypatch.context() as m:
+        m.setattr(licenses.Scanner, "ranked", lambda self, *of: [r for r in ranked(self, *of) if r[1] != "MIT"])
+        assert found() == {"MPL-2.0"}
+    with monkeypatch.context() as m:
+        m.setattr(licenses.Scanner, "ranked", lambda self, *of: [(0.0, name) for _, name in ranked(self, *of)])
+        assert found() == set()
+
+
+def test_few_templates_are_compared():
+    scanner, compared = licenses.Scanner(licenses.TEMPLATES), []
+    stretches = scanner.stretches
+    scanner.stretches = lambda name, words: (compared.append(name), stretches(name, words))[1]
+    scanner.notices("free text " * 20 + licenses.TEMPLATES["MIT-grant"] + " other text" * 20)
+    assert "MIT-grant" in compared and len(set(compared)) <= len(licenses.TEMPLATES) / 2
+
+
+def test_licenses_of_repeated_and_unusual_rows(spark):
+    notice = licenses.TEMPLATES["MIT"]
+    rows = [(1, notice), (1, notice), (None, notice), (2, None), (3, ""), (4, "w " * 300_000 + notice)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, licenses string")
+    got = licenses.document_licenses(df).collect()
+    assert sorted((r.doc_id or 0, r.n_notices, r.licenses, r.exact) for r in got if r.n_notices) == [
+        (0, 1, "MIT", True), (1, 1, "MIT", True), (1, 1, "MIT", True), (4, 1, "MIT", True)]
+    assert sorted((r.doc_id, r.licenses, r.exact) for r in got if not r.n_notices) == [(2, "", None), (3, "", None)]
+
+
 def test_licenses_within_other_text(spark):
     names = sorted(licenses.TEMPLATES)
     around = "people walk along the river and look at old bridges in the summer "
