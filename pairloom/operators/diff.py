@@ -158,18 +158,24 @@ def _segment_rows(starts: Column) -> Column:
         F.transform(starts, lambda s, i: segment(s, i, m))))
 
 
-def line_diff(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) -> DataFrame:
+def line_diff(pairs: DataFrame, key: str = "exact", drop_blank: bool = False, heads: bool = False) -> DataFrame:
     """(pair_id, bpos, apos, op, line, moved) with op K (kept), D or I.
 
     ``key`` says when two lines are equal: ``exact`` (rebuilds ``after`` byte for
     byte) or ``strip`` (white-space edits count as kept).  K carries both
     positions and the line of the before side.  ``moved`` marks D and I rows of a
-    line that is on both sides in another order.
+    line that is on both sides in another order.  With ``heads`` every complete pair has
+    a row of op H before all its lines too, so that a pair without an edit is not lost.
     """
     head = F.array(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("a")))
+    lines = let(F.concat(head, "anchors"), _segment_rows)
+    if heads:
+        text = F.lit(None).cast("string")
+        lines = F.concat(F.array(F.struct(
+            F.lit(-1).alias("seg"), F.lit(True).alias("fixed"), F.lit(-1).alias("bpos"), F.lit(-1).alias("apos"),
+            text.alias("key"), text.alias("line"), F.lit(False).alias("moved"))), lines)
     rows = (anchored_pairs(pairs, key, drop_blank)
-            .select("pair_id", F.explode(
-                let(F.concat(head, "anchors"), _segment_rows)).alias("r"))
+            .select("pair_id", F.explode(lines).alias("r"))
             .select("pair_id", "r.*"))
 
     copy = Window.partitionBy("pair_id", "seg", "key", "fixed", F.col("bpos").isNull()) \
@@ -198,8 +204,9 @@ def line_diff(pairs: DataFrame, key: str = "exact", drop_blank: bool = False) ->
     none, bpos, apos = F.lit(None).cast("int"), F.col("bpos"), F.col("apos")
     gone = lambda moved: row("D", bpos, none, F.col("bline"), moved)
     new = lambda moved: row("I", none, apos, F.col("aline"), moved)
+    keep = F.when(bpos < 0, "H").otherwise("K") if heads else "K"
     out = (F.when(both & F.col("in_order"),
-                  F.array(row("K", bpos, apos, F.col("bline"), F.lit(False))))
+                  F.array(row(keep, bpos, apos, F.col("bline"), F.lit(False))))
            .when(both, F.array(gone(F.lit(True)), new(F.lit(True))))
            .when(apos.isNull(), F.array(gone(F.col("moved"))))
            .otherwise(F.array(new(F.col("moved")))))
@@ -233,7 +240,10 @@ def insert_anchors(diff: DataFrame) -> DataFrame:
 
 
 def hunks(diff: DataFrame) -> DataFrame:
-    """One row per run of deletes and inserts between two kept lines."""
+    """One row per run of deletes and inserts between two kept lines.
+
+    A diff with heads has a row for gap 0 of every pair, with empty lists if nothing is there.
+    """
     part = lambda op, pos: F.sort_array(F.collect_list(
         F.when(F.col("op") == op, F.struct(F.col(pos).alias("pos"), F.col("line").alias("line")))))
     return (with_gaps(diff).where(F.col("op") != "K")
@@ -242,11 +252,12 @@ def hunks(diff: DataFrame) -> DataFrame:
                  F.max("anchor").alias("anchor")))
 
 
-def hunk_edits(hunk: DataFrame) -> DataFrame:
+def hunk_edits(hunk: DataFrame, heads: bool = False) -> DataFrame:
     """(pair_id, gap, idx, kind, key, value): the edits of each hunk.
 
     The inserts replace the last delete of the run; earlier deletes are removed.
-    Without a delete every insert goes behind the anchor on its own.
+    Without a delete every insert goes behind the anchor on its own.  With ``heads`` a
+    run without lines gives a row with a null edit.
     """
     d, i = F.col("deletes"), F.col("inserts")
     last = F.size(d) - 1
@@ -262,7 +273,8 @@ def hunk_edits(hunk: DataFrame) -> DataFrame:
 
     inserted = F.transform(i, lambda x, j: edit(
         j, F.lit("insert"), F.col("anchor"), F.array(x["line"])))
-    return hunk.select("pair_id", "gap", F.inline(
+    rows = F.inline_outer if heads else F.inline
+    return hunk.select("pair_id", "gap", rows(
         F.when(F.size(d) > 0, F.transform(d, deleted)).otherwise(inserted)))
 
 
@@ -270,7 +282,7 @@ def drop_noop_edits(edits: DataFrame) -> DataFrame:
     """Remove replacements by one line that differs in outer white space only."""
     noop = ((F.col("kind") == "replace") & (F.size("value") == 1)
             & (X.strip(F.get("value", F.lit(0))) == X.strip(F.col("key"))))
-    return edits.where(~noop)
+    return edits.where(F.col("kind").isNull() | ~noop)
 
 
 def edits_of(pairs: DataFrame, key: str = "strip", drop_blank: bool = True) -> DataFrame:
@@ -278,8 +290,10 @@ def edits_of(pairs: DataFrame, key: str = "strip", drop_blank: bool = True) -> D
 
 
 def edit_script(edits: DataFrame) -> DataFrame:
-    """(pair_id, script): the edits of a pair in text order, for pairs that have any."""
-    ordered = F.sort_array(F.collect_list(F.struct("gap", "idx", "kind", "key", "value")))
+    """(pair_id, script): the edits of a pair in text order, for pairs that have any row; a
+    null edit is none."""
+    ordered = F.sort_array(F.collect_list(F.when(
+        F.col("kind").isNotNull(), F.struct("gap", "idx", "kind", "key", "value"))))
     return (edits.groupBy("pair_id").agg(ordered.alias("_s"))
             .select("pair_id", F.transform("_s", lambda e, n: F.struct(
                 (n + 1).alias("ord"), e["kind"].alias("kind"), e["key"].alias("key"),
@@ -288,10 +302,8 @@ def edit_script(edits: DataFrame) -> DataFrame:
 
 def scripts_of(pairs: DataFrame, key: str = "strip", drop_blank: bool = True) -> DataFrame:
     """(pair_id, script) for every complete pair; the script of a pair without an edit is empty."""
-    none = F.array().cast("array<struct<ord:int,kind:string,key:string,value:array<string>>>")
-    ids = pairs.where(F.col("before").isNotNull() & F.col("after").isNotNull()).select("pair_id")
-    return (ids.join(edit_script(edits_of(pairs, key, drop_blank)), "pair_id", "left")
-            .select("pair_id", F.coalesce("script", none).alias("script")))
+    edits = hunk_edits(hunks(line_diff(pairs, key, drop_blank, heads=True)), heads=True)
+    return edit_script(drop_noop_edits(edits))
 
 
 def location_lines(script: Column) -> Column:

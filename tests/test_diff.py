@@ -220,3 +220,15 @@ def test_a_long_line_with_a_small_change_is_cheap(spark, pair_table):
     other = [*words[:20_000], "new", *words[20_001:]]
     pairs = pair_table(("k\n" + " ".join(words), "k\n" + " ".join(other)))
     assert D.scripts_of(pairs).select(D.changed_words(F.col("script"))).first()[0] == 1
+
+
+def test_scripts_read_the_texts_once(spark, tmp_path):
+    rows = [("a", "x\ny", "x\nz"), ("b", "same\nlines", "same\nlines"), ("c", "", ""), ("d", "\n \n", "new"), ("e", None, "x"), ("f", "p\nq\nr", "q")]
+    spark.createDataFrame(rows, "pair_id string, before string, after string").write.parquet(str(tmp_path / "pairs"))
+    made = D.scripts_of(spark.read.parquet(str(tmp_path / "pairs")))
+    got = {r.pair_id: [(e.ord, e.kind, e.key, e.value) for e in r.script] for r in made.collect()}
+    assert got == {
+        "a": [(1, "replace", "y", ["z"])], "b": [], "c": [], "d": [(1, "insert", None, ["new"])],
+        "f": [(1, "remove", "p", []), (2, "remove", "r", [])]}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
