@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pairloom.functions import arrow
 from pairloom.functions import text as X
-from pairloom.operators.scale import global_running
+from pairloom.operators.scale import global_running, texts_by_id
 
 MAX_N = 4
 
@@ -60,29 +64,45 @@ def ngram_stats(df: DataFrame, hyp: str, ref: str, tokenise=tokens_13a,
     ``tokenise`` maps a text column to a word array; ``text.words`` cuts at white
     space only.
 
-    Texts are partitioned by id before they are cut up, so the counts need no
-    further shuffle.  N-grams come from zipping the token array with itself
-    shifted by 1..3, which stays in compiled code.
+    Texts of one id are brought together, whole, by one shuffle, and each row is counted where
+    it lies: no n-gram is shuffled or sorted.  Tasks number words and n-grams exactly.
     """
-    side = lambda c, h: F.struct(
-        F.lit(h).alias("h"), F.lit(1 - h).alias("r"), tokenise(F.col(c)).alias("t"))
-    sides = (df.select(row_id, F.col(hyp).alias("_h"), F.col(ref).alias("_r")).repartition(row_id)
-             .select(row_id, F.explode(F.array(side("_h", 1), side("_r", 0))).alias("s"))
-             .select(row_id, "s.*"))
-    shifted = F.arrays_zip(*[F.slice("t", k, F.size("t")).alias(f"t{k}") for k in range(1, MAX_N + 1)])
-    cells = []
+    rows = texts_by_id(df.select(row_id, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), row_id, "_h", "_r")
+    lists = rows.select(row_id, *[F.transform(c, tokenise).alias(c) for c in ("_h", "_r")])
+    schema = T.StructType([
+        df.schema[row_id], T.StructField("n", T.IntegerType()),
+        *[T.StructField(c, T.LongType()) for c in ("matched", "hyp", "ref")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.blocks(batches, "_h", "_r"):
+            for n, matched, h, r in _gram_counts(arrow.tokens_of(batch.column("_h")), arrow.tokens_of(batch.column("_r")), batch.num_rows):
+                at = np.flatnonzero(h + r)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(row_id).take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)),
+                     *[pa.array(x[at]) for x in (matched, h, r)]], names=schema.names)
+
+    return lists.mapInArrow(run, schema)
+
+
+def _gram_counts(hyp: arrow.Tokens, ref: arrow.Tokens, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, matched, hyp, ref) with an entry per row, n = 1..4.
+
+    An n-gram is numbered by the pair of its first n - 1 words' number and its last word's, and
+    the first words' numbers hold the row, so equal numbers mean one n-gram of one row.
+    """
+    word, known = arrow.codes_of(pa.concat_arrays([hyp.words, ref.words]))
+    row, left = np.concatenate([hyp.row, ref.row]), np.concatenate([hyp.left, ref.left])
+    at, gram = np.arange(len(word)), row
     for n in range(1, MAX_N + 1):
-        gram = [F.col("t1")]
-        for k in range(2, n + 1):
-            gram += [F.lit(" "), F.col(f"t{k}")]
-        cells += [F.lit(n), F.concat(*gram)]
-    return (sides.select(row_id, "h", "r", F.inline(shifted).alias(*[f"t{k}" for k in range(1, MAX_N + 1)]))
-            .select(row_id, "h", "r", F.stack(F.lit(MAX_N), *cells).alias("n", "gram"))
-            .where(F.col("gram").isNotNull())
-            .groupBy(row_id, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-            .groupBy(row_id, "n").agg(
-                F.sum(F.least("h", "r")).alias("matched"),
-                F.sum("h").alias("hyp"), F.sum("r").alias("ref")))
+        long_enough = left[at] >= n
+        at = at[long_enough]
+        gram, _ = arrow.codes_of(gram[long_enough] * len(known) + word[at + n - 1])
+        size = int(gram.max(initial=-1)) + 1
+        of = np.zeros(size, np.int64)
+        of[gram] = row[at]
+        r = np.bincount(gram[at >= len(hyp.row)], minlength=size)
+        h = np.bincount(gram, minlength=size) - r
+        yield n, *[np.bincount(of, x, rows).astype(np.int64) for x in (np.minimum(h, r), h, r)]
 
 
 def ngram_overlap(stats: DataFrame) -> DataFrame:
