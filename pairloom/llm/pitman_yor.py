@@ -14,6 +14,7 @@ Texts are cut twice, once to learn and once to score, and are never stored.
 from __future__ import annotations
 
 import pickle
+import random
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,8 +36,8 @@ BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS = 24 << 20, 1 << 30, 16
 CHUNK_DOCS, CHUNK_BYTES = 1 << DOC_BITS, 16 << 20
 #: Sweeps before the first sample, and samples that are averaged.
 BURN_IN, SAMPLES, SEED = 2, 3, 13
-#: Customers of one cell that a sweep seats anew, drawn at random; all of a smaller cell.
-MOVES = 16
+#: Customers that a sweep moves together, and cells below which it moves them one by one.
+SWEEP_CUSTOMERS, FEW_CELLS = 1 << 22, 32
 #: Strengths of the context restaurants and of their parent.
 CONTEXT_STRENGTH, WORD_STRENGTH = 1.0, 1.0
 
@@ -189,43 +190,87 @@ def seat(rng: np.random.Generator, customers: np.ndarray, new: np.ndarray, disco
 
 
 def sweep(rng: np.random.Generator, customers: np.ndarray, new: np.ndarray, discount: float, tables: np.ndarray,
-          sizes: np.ndarray, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
+          sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One Gibbs sweep over many cells at once: (tables per cell, customers per table).
 
-    A random customer of each cell leaves and sits down again, ``moves`` times or as often as
-    the cell has customers.
+    Every customer of every cell leaves once and sits down again.  Cells go in blocks of about
+    SWEEP_CUSTOMERS, the largest first.
     """
-    todo = np.minimum(customers, moves)
-    order = np.argsort(-todo, kind="stable")
-    before = (np.cumsum(tables) - tables)[order]
-    c, a, t, todo = customers[order], new[order], tables[order], todo[order]
-    room = t + todo
+    order = np.argsort(-customers, kind="stable")
+    before, block = np.cumsum(tables) - tables, np.cumsum(customers[order]) // SWEEP_CUSTOMERS
+    cells, seated = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+        t = tables[own]
+        inside = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        cell, n = _sweep_block(rng, customers[own], new[own], discount, t, sizes[np.repeat(before[own], t) + inside])
+        cells.append(own[cell])
+        seated.append(n)
+    cell = np.concatenate(cells)
+    return np.bincount(cell, minlength=len(tables)), np.concatenate(seated)[np.argsort(cell, kind="stable")]
+
+
+def _sweep_block(rng: np.random.Generator, c: np.ndarray, a: np.ndarray, discount: float, t: np.ndarray,
+                 sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, customers) of each table after a sweep over cells sorted by falling customers.
+
+    An old table is found by its customers: the table of a random other one is drawn in
+    proportion to its customers and taken in proportion to (customers - discount) / customers.
+    """
+    room, first = t + c, np.cumsum(c) - c
     start = np.cumsum(room) - room
-    inside = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+    slots = np.arange(int(t.sum())) + np.repeat(start - (np.cumsum(t) - t), t)
     n = np.zeros(int(room.sum()), np.int64)
-    n[np.repeat(start, t) + inside] = sizes[np.repeat(before, t) + inside]
-    used = t.copy()
-    for move in range(int(todo.max(initial=0))):
-        k = int(np.searchsorted(-todo, -move, "left"))
-        first, last = start[:k], start[:k] + room[:k] - 1
-        live = n[:last[-1] + 1]
-        total = np.cumsum(live)
-        left = np.searchsorted(total, total[first] - live[first] + (rng.random(k) * c[:k]).astype(np.int64), "right")
-        live[left] -= 1
-        weight = np.where(live > 0, live - discount, 0.0)
-        total = np.cumsum(weight)
-        before = total[first] - weight[first]
-        own = total[last] - before
-        drawn = rng.random(k) * (own + a[:k])
-        table = np.clip(np.searchsorted(total, before + drawn, "right"), first, last)
-        table = np.where(live[table] > 0, table, left)
-        opened = drawn >= own
-        table[opened] = first[opened] + used[:k][opened]
-        used[:k][opened] += 1
-        live[table] += 1
+    n[slots] = sizes
+    place, unused, live, move = np.repeat(slots, sizes), start + t, t.copy(), 0
+    while (k := int(np.searchsorted(-c, -move, "left"))) >= FEW_CELLS:
+        at = first[:k] + move
+        left = place[at]
+        n[left] -= 1
+        live[:k] -= n[left] == 0
+        own = c[:k] - 1 - discount * live[:k]
+        opened = rng.random(k) * (own + a[:k]) >= own
+        table = unused[:k].copy()
+        unused[:k] += opened
+        live[:k] += opened
+        todo = np.flatnonzero(~opened)
+        while todo.size:
+            other = (rng.random(len(todo)) * (c[todo] - 1)).astype(np.int64)
+            drawn = place[first[todo] + other + (other >= move)]
+            taken = rng.random(len(todo)) * n[drawn] < n[drawn] - discount
+            table[todo[taken]] = drawn[taken]
+            todo = todo[~taken]
+        place[at] = table
+        n[table] += 1
+        move += 1
+    draw = random.Random(int(rng.integers(1 << 62))).random
+    for i in range(k):  # what is left of the largest cells, one by one
+        low, total = int(start[i]), int(c[i])
+        held = n[low:low + int(room[i])].tolist()
+        _sweep_cell(draw, held, (place[int(first[i]):int(first[i]) + total] - low).tolist(), move, float(a[i]), discount,
+                    int(unused[i]) - low, int(live[i]))
+        n[low:low + int(room[i])] = held
     kept = np.flatnonzero(n)
-    cell = order[np.repeat(np.arange(len(room)), room)[kept]]
-    return np.bincount(cell, minlength=len(tables)), n[kept[np.argsort(cell, kind="stable")]]
+    return np.repeat(np.arange(len(room)), room)[kept], n[kept]
+
+
+def _sweep_cell(draw, held: list[int], place: list[int], move: int, a: float, discount: float, unused: int, live: int) -> None:
+    """Customers ``move`` and on of one cell leave and sit down again; ``held`` has the customers per table."""
+    others = len(place) - 1
+    for customer in range(move, others + 1):
+        left = place[customer]
+        held[left] -= 1
+        live -= held[left] == 0
+        own = others - discount * live
+        if draw() * (own + a) >= own:
+            table, unused, live = unused, unused + 1, live + 1
+        else:
+            while True:
+                other = int(draw() * others)
+                table = place[other + (other >= customer)]
+                if draw() * held[table] < held[table] - discount:
+                    break
+        place[customer] = table
+        held[table] += 1
 
 
 class Totals(NamedTuple):
