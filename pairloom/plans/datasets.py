@@ -9,7 +9,7 @@ from pairloom.functions import text as X
 from pairloom.functions import wire
 from pairloom.operators import apply as A
 from pairloom.operators import dedup, diff, lines, metrics, tables
-from pairloom.session import durable
+from pairloom.session import store_texts
 
 
 def folded(pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def dataset_table(pairs: DataFrame, max_lines: int | None = None) -> DataFrame:
     A pair without any edit keeps two empty targets.  The prepared pairs are stored once, since
     the diff and the table both read them.
     """
-    ready = durable(prepared_pairs(pairs))
+    ready = store_texts(prepared_pairs(pairs))
     targets = diff.location_targets(diff.scripts_of(ready), max_lines)
     return tables.drop_missing(ready.join(targets, "pair_id"), "lines_with_vul", "lines_after_fix")
 
@@ -52,7 +52,7 @@ def build_records(pairs: DataFrame, excluded: DataFrame | None = None, dedup_row
         rows = tables.exclude_rows(rows, excluded)
     rows = _deduplicated(rows, dedup_rows, "before", "after").select("pair_id", "before", "after")
     rows = folded(rows)
-    rows = durable(with_unique_before(rows) if unique_before else rows)
+    rows = store_texts(with_unique_before(rows) if unique_before else rows)
     return diff.injection_records(rows, diff.edit_script(diff.edits_of(rows)))
 
 
@@ -102,7 +102,7 @@ def misses(generated: DataFrame, truth: str = "after") -> DataFrame:
 def round_trip(pairs: DataFrame) -> DataFrame:
     """(pair_id, generated, status, same): apply the script of a pair to its own
     before text.  A pair without an edit has nothing to apply and stays as it is."""
-    ready = durable(with_unique_before(pairs.select("pair_id", "before", "after")))
+    ready = store_texts(with_unique_before(pairs.select("pair_id", "before", "after")))
     records = diff.injection_records(ready, diff.edit_script(diff.edits_of(ready)))
     edited = F.col("outputs") != ""
     done = A.apply_edits(records.select(

@@ -1,6 +1,8 @@
 """Whole jobs whose share of a task does not grow with the table."""
 
 import glob
+import os
+import random
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pairloom.functions import text as X
 from pairloom.llm import pitman_yor
 from pairloom.operators import diff, lines, metrics, records, scale
 from pairloom.plans import slices
+from pairloom.session import store_texts
 
 
 def plan_of(df) -> str:
@@ -55,6 +58,30 @@ def test_partitions_of_a_diff_follow_the_bytes(spark, monkeypatch):
     assert few < diff.complete_by_id(pairs).rdd.getNumPartitions() == 60
 
 
+def files_read(df) -> set[str]:
+    return {f.removeprefix("file://") for f in df.inputFiles()}
+
+
+def test_texts_are_dealt_from_files_that_follow_their_bytes(spark, tmp_path):
+    """A split of a packed table can hold any amount of text, all of it in one task's memory."""
+    text, path = random.Random(1).randbytes(50_000).hex(), str(tmp_path / "packed")
+    spark.range(100).select(F.col("id").alias("pair_id"), F.lit(text).alias("before")).coalesce(1).write.parquet(path)
+    pairs = spark.read.parquet(path).withColumn("after", F.concat("before", F.lit("x")))
+    packed = sum(map(os.path.getsize, files_read(pairs)))
+    assert packed < 1e6
+    for dealt, texts in ((diff.complete_by_id(pairs), 2), (scale.texts_by_id(pairs, "pair_id", "before"), 1)):
+        assert sum(map(os.path.getsize, files_read(dealt))) > 0.5 * texts * 100 * len(text)
+
+
+def test_stored_texts_are_not_stored_again(spark):
+    pairs = spark.createDataFrame([(1, "x\ny", "x\nz"), (1, "x\ny", "x\nz"), (2, "a", None), (None, "p", "q")], "pair_id long, before string, after string")
+    stored = store_texts(pairs)
+    records = diff.injection_records(stored, diff.edit_script(diff.edits_of(stored)))
+    assert files_read(records) == files_read(stored)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(records) == key(diff.injection_records(pairs, diff.edit_script(diff.edits_of(pairs))))
+
+
 def test_slices_are_entered_in_groups(spark, tmp_path):
     folder = str(tmp_path / "job")
     slices.prepare(spark.range(0, 60), ["id"], 5, folder)
