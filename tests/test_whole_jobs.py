@@ -3,11 +3,13 @@
 import glob
 import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from pairloom.functions import text as X
 from pairloom.llm import pitman_yor
 from pairloom.operators import diff, lines, metrics, records, scale
@@ -82,6 +84,21 @@ def test_stored_texts_are_not_stored_again(spark):
     assert key(records) == key(diff.injection_records(pairs, diff.edit_script(diff.edits_of(pairs))))
 
 
+@pytest.mark.parametrize("query", ["edit_stats", "filter_edit_size", "location_targets", "drop_noop_edits"])
+def test_edits_are_made_behind_one_exchange_of_stored_texts(spark, tmp_path, monkeypatch, query):
+    """What a task of these queries holds follows the bytes of its partition on both sides of the exchange."""
+    body = [". ".join(f"line {i} {j % 9}" for j in range(i % 40)) for i in range(60)] + [None, "", "a. a. b"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(body)] + [(7, "x. y, z"), (None, "p. q")], "doc_id long, text string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    few = catalog.QUERIES[query](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(scale, "TASK_BYTES", 700)
+    many = catalog.QUERIES[query](spark, str(tmp_path))
+    assert files_read(many) and all("/pairloom-texts-" in f for f in files_read(many))
+    parts = re.findall(r"Exchange hashpartitioning\(pair_id#\d+L?, (\d+)\)", plan_of(many))
+    assert len(parts) == 1 and int(parts[0]) > 12 and "Exchange hashpartitioning(" not in plan_of(many).replace("Exchange hashpartitioning(pair_id", "", 1)
+    assert few and sorted(map(str, few)) == sorted(map(str, many.collect()))
+
+
 def test_slices_are_entered_in_groups(spark, tmp_path):
     folder = str(tmp_path / "job")
     slices.prepare(spark.range(0, 60), ["id"], 5, folder)
