@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import catalog
-from pairloom.functions import text as X
+from pairloom.functions import arrow, text as X
 from pairloom.llm import pitman_yor
 from pairloom.operators import diff, lines, metrics, records, scale
 from pairloom.plans import slices
@@ -47,6 +48,58 @@ def test_no_token_is_exploded_for_ids_names_or_ngrams(spark, texts):
     assert "posexplode(_t" not in plan_of(records.token_ids(texts, "t", vocab))
 
 
+ODD_TEXTS = [
+    "int a_1=b->c;", "", " \t\n\x0b\f\r", "\x1c\x85\u2028 x\u00a0y", "é_ü aé1 \U0001d11ea", '"a\\\u2028b" c "x\\\rd" "p\\"q"',
+    "// c 'x\n/* a\n\"b */ 'q\\'r' '\\\n'", "/* open", "0x1F+1e-3...a<<=b##c", "a", "1"]
+
+
+@pytest.mark.parametrize("pattern, cut", [(X.TOKEN, arrow.words_and_marks), (X.C_TOKEN, arrow.by_pattern(X.C_TOKEN_PY))])
+def test_tokens_cut_in_tasks_are_those_of_the_pattern(spark, pattern, cut):
+    rows = spark.createDataFrame(list(enumerate([*ODD_TEXTS, None])), "i int, t string")
+    want = [r.w for r in rows.select("i", F.coalesce(X.tokens(F.col("t"), pattern), F.array().cast("array<string>")).alias("w")).orderBy("i").collect()]
+    words, sizes = cut(pa.array([*ODD_TEXTS, None]))
+    assert words.to_pylist() == [w for one in want for w in one] and sizes.tolist() == list(map(len, want))
+    words, sizes = cut(pa.array(ODD_TEXTS).slice(3, 5))
+    assert words.to_pylist() == [w for one in want[3:8] for w in one] and sizes.tolist() == list(map(len, want[3:8]))
+
+
+def test_bytes_that_are_no_text_are_replaced():
+    raw = pa.array([b"a\xffb c", b"\xc3", b"d"], pa.binary())
+    words, sizes = arrow.words_and_marks(pa.StringArray.from_buffers(3, *raw.buffers()[1:]))
+    assert words.to_pylist() == ["a", "\ufffd", "b", "c", "\ufffd", "d"] and sizes.tolist() == [4, 1, 1]
+
+
+def test_vocabulary_is_summed_in_tasks(spark, texts, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK_BYTES", 4)
+    vocab = records.vocabulary(texts, "t")
+    assert sorted(map(tuple, vocab.collect())) == [("a", 6, 1), ("b", 3, 2), ("c", 2, 3)]
+    counted = records._counted(iter([pa.RecordBatch.from_arrays([pa.array(["a b", None, "", "a a", "b"])], names=["t"])]))
+    assert sorted((w, n) for b in counted for w, n in zip(*map(pa.Array.to_pylist, b.columns))) == [("a", 1), ("a", 2), ("b", 1), ("b", 1)]
+
+
+@pytest.mark.parametrize("length", [None, 3, records.LONGEST])
+def test_padding_in_runs_is_the_spelt_padding(spark, texts, length):
+    few = texts.where("pair_id < 5")
+    vocab = records.vocabulary(few.where("t <> 'a a'"), "t")
+    spelt = records.encode_tokens(few, "t", vocab, length).select("pair_id", F.array_join("input_ids", " "), F.array_join("attention_mask", ""),
+                                                                  F.array_join(records.mask_label_padding(F.col("input_ids")), " "))
+    n_pad = F.col("n_pad")
+    runs = records.encode_tokens(few, "t", vocab, length, runs=True).withColumn("m", records.mask_label_padding(F.col("input_ids"), n_pad=n_pad)).select(
+        "pair_id", records.joined(F.col("input_ids"), 0, n_pad), records.joined(F.col("attention_mask"), 0, n_pad, ""),
+        records.joined(F.col("m.head"), -100, F.col("m.n_ignored")))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(runs) == key(spelt) and len(key(runs)) == 4
+
+
+def test_a_pad_among_the_labels_ends_both_forms(spark):
+    rows = spark.createDataFrame([([5, 0, 6], 2), ([5, 6], 0), ([], 3), ([], 0), ([7], 1)], "l array<int>, n int")
+    got = [tuple(r) for r in rows.select(
+        F.array_join(records.mask_label_padding(F.concat("l", F.array_repeat(F.lit(0), F.col("n")))), " "),
+        records.joined(records.mask_label_padding(F.col("l"), n_pad=F.col("n"))["head"], -100,
+                       records.mask_label_padding(F.col("l"), n_pad=F.col("n"))["n_ignored"])).collect()]
+    assert got == [(x, x) for x in ("5 0 -100 -100 -100", "5 6", "0 -100 -100", "", "7 0")]
+
+
 def test_ngrams_of_texts_that_share_an_id_are_counted_together(spark):
     df = spark.createDataFrame([(1, "a b", "a"), (1, "a", "a c"), (2, "x", None)], "pair_id long, h string, r string")
     got = {(r.pair_id, r.n): (r.matched, r.hyp, r.ref) for r in metrics.ngram_stats(df, "h", "r", X.words).collect()}
