@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
-from pairloom.operators import learn
+from pairloom.operators import forest, learn
 from pairloom.operators import metrics as M
 from pairloom.operators import ranking as R
 
@@ -162,6 +163,47 @@ def test_bags_of_words_are_those_of_the_forest(spark):
     assert model.stages[0].vocabulary == ["b", "a"]
 
 
+def test_forest_holds_no_row_wider_than_its_bag(spark):
+    """The class hangs on how often a word comes; noise words fill a wide index."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["key"] * (i % 4) + [f"w{rng.randrange(300)}" for _ in range(30)]), int(i % 4 > 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "pair_id long, t string, y int")
+    model = learn.bow_forest(df, "t", "y", trees=40, depth=3)
+    grown = model.stages[1].trees
+    at, key = model.stages[0].vocabulary.index("key"), grown.feature
+    assert (key == at).any() and set(grown.above[key == at]) <= {0.5, 1.5, 2.5} and 1.5 in grown.above[key == at]
+    scored = learn.bow_scores(model, df, "t", "pair_id").join(df, "pair_id").collect()
+    assert np.mean([r.predicted == r.y for r in scored]) > 0.8 and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_forest_splits_are_the_best_ones(spark):
+    """One tree without bootstrap noise in its gains: the first split against all splits tried by hand."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(w for w in "abcd" for _ in range(rng.randrange(5))), rng.randrange(3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "pair_id long, t string, y int").coalesce(1)
+    model = learn.bow_forest(df, "t", "y", trees=1, depth=2, seed=3)
+    words, tree = model.stages[0].vocabulary, model.stages[1].trees
+    times = forest._times_drawn(np.arange(90), 0, 3)
+    counts, y = np.array([[t.split().count(w) for w in words] for _, t, _ in rows]), np.array([r[2] for r in rows])
+
+    def impurity(keep):
+        n = np.bincount(y[keep], times[keep], 3)
+        return n.sum() * (1 - ((n / n.sum()) ** 2).sum()) if n.sum() else 0
+
+    def gain(f, above):
+        return impurity(times > 0) - impurity(counts[:, f] > above) - impurity(counts[:, f] <= above)
+    best = max(gain(f, v + .5) for f in range(4) for v in range(4))
+    assert gain(tree.feature[0, 1], tree.above[0, 1]) == pytest.approx(best)
+    right = counts[:, tree.feature[0, 1]] > tree.above[0, 1]
+    held = np.bincount(y[right], times[right], 3)
+    assert tree.share[0, 3] == pytest.approx(held / held.sum())
+    for r in learn.bow_scores(model, df, "t", "pair_id").collect():
+        node = 1
+        while (f := tree.feature[0, node]) >= 0:
+            node = 2 * node + (counts[r.pair_id, f] > tree.above[0, node])
+        assert r.score == pytest.approx(tree.share[0, node, 1]) and r.predicted == tree.share[0, node].argmax()
+
+
 def test_length_model(spark):
     df = spark.createDataFrame([(i, "x" * i if i else None, 2.0 * i + 1.5) for i in range(6)], "pair_id long, t string, y double")
     out = learn.batch_score(df, "t", "pair_id", learn.length_model(df, "t", "y"), T.LongType()).collect()
